@@ -165,3 +165,24 @@ def words_of(text: str | None) -> list[str]:
 def renamed(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Only the needed columns, so that no extra column can clash with the operator's own names."""
     return df.select(*[df[k].cast(v).alias(k) for k, v in needed.items()])
+
+
+class Vocabulary:
+    """Word hashes by number, and a fast way to find them among many."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes.astype(np.uint64))
+        self.sieve = np.zeros(1 << 17, bool)
+        self.sieve[(self.hashes >> np.uint64(47)).astype(np.int64)] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``h`` that hold a known word, and those words' numbers."""
+        if not len(self.hashes) or not len(h):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.sieve[(h >> np.uint64(47)).astype(np.int64)])
+        number = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        same = self.hashes[number] == h[at]
+        return at[same], number[same]
