@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lang_id, maxscore, quality, simhash, token_count
+from . import bpe, chat_format, decontaminate, html_extract, lang_id, maxscore, quality, simhash, token_count, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -37,18 +45,30 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.rules_from_pages(pages))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
+    "op9_url_filter": op9_url_filter,
     "op10_top_k": op10_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_top_k": maxscore.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": chat_format.SQL,
+    "op9_url_filter": url_filter.SQL,
+    "op10_top_k": maxscore.SQL,
+}
