@@ -108,3 +108,14 @@ def redact(df: DataFrame, text: str, types: Iterable[str] = ("pii", "secret")) -
     df = df.withColumn("_found", F.when(F.col(text).isNotNull(), found))
     slim = F.transform("_found", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label")))
     return df.withColumn(text, F.when(F.col("_found").isNotNull(), redacted(F.col(text), slim))).drop("_found")
+
+
+def rule_matches(text: Column, rule: patterns.Rule) -> Column:
+    """All that one rule finds, whatever others find there."""
+
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = [[m[0] for m in rule.pattern.finditer(t or "") if not rule.check or rule.check(m[0])] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.string()))
+
+    return found(text)

@@ -1,0 +1,89 @@
+"""The driver tables seen as a corpus, in Spark and in DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, text as tx
+from ..operators import chunk
+from ..sources.decoders import BLOCK
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with a path and a content-addressed id for each row."""
+    rows = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = rows.withColumn("uri", path).withColumn("sha256", F.sha2("text", 256))
+    return rows.withColumn("document_id", ids.document_id(F.col("sha256"), F.col("uri")))
+
+
+def paragraph_blocks(text: Column) -> Column:
+    """A paragraph block per part of the text, as the text decoder makes them."""
+    null = lambda kind: F.lit(None).cast(kind)
+    block = lambda p, i: F.struct(
+        i.cast("int").alias("index"), F.lit("paragraph").alias("type"), p.alias("text"), null("string").alias("markdown"), null("string").alias("html"), null("int").alias("level"),
+        null("int").alias("page"), null("int").alias("line_start"), null("int").alias("line_end"), F.lit(1.0).alias("confidence"), F.create_map().cast("map<string,string>").alias("metadata"),
+    )
+    return F.transform(tx.paragraphs(text), block).cast(f"array<{BLOCK}>")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts(spark, sf_dir)
+    meta = F.create_map(F.lit("lang"), "lang")
+    return rows.select("doc_id", "document_id", "uri", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), paragraph_blocks(F.col("text")).alias("blocks"), meta.alias("metadata"))
+
+
+def chunks(spark: SparkSession, sf_dir: str, strategy: str = "fixed") -> DataFrame:
+    return chunk.chunked(corpus(spark, sf_dir), strategy)
+
+
+def sql_normalized(x: str) -> str:
+    lines = rf"regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize({x}), chr(0), ''), '\r\n?', chr(10), 'g'), '[\t\f\v ]+', ' ', 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g')"
+    return rf"regexp_replace(regexp_replace({lines}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+SQL_SLUG = "lower(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'))"
+
+#: documents as rows of (doc_id, document_id, uri, sha, text); text is normalized.
+SQL_DOCS = f"""
+docs AS (
+  SELECT doc_id, lang, source, uri, sha, raw, 'doc_' || substr(sha256(sha || ':' || {SQL_SLUG.format('uri')}), 1, 16) AS document_id, text
+  FROM (SELECT doc_id, lang, source, text AS raw, source || '/' || doc_id || '.txt' AS uri, sha256(text) AS sha, {sql_normalized('text')} AS text FROM documents)
+)"""
+
+#: their parts of at most 3000 characters with 200 shared, by recursion: a cut at the last space of the window.
+SQL_CHUNKS = f"""
+walk AS (
+  SELECT doc_id, text, 0::BIGINT AS n, 0::BIGINT AS pos, length(text)::BIGINT AS size,
+    CASE WHEN length(text) <= 3000 THEN length(text) ELSE CASE WHEN strpos(reverse(substr(text, 1, 3000)), ' ') BETWEEN 1 AND 2999
+      THEN 3000 - strpos(reverse(substr(text, 1, 3000)), ' ') ELSE 3000 END END::BIGINT AS cut
+  FROM docs
+  UNION ALL
+  SELECT doc_id, text, n + 1, pos2, size,
+    CASE WHEN size - pos2 <= 3000 THEN size ELSE CASE WHEN strpos(reverse(substr(text, pos2 + 1, 3000)), ' ') BETWEEN 1 AND 2999
+      THEN pos2 + 3000 - strpos(reverse(substr(text, pos2 + 1, 3000)), ' ') ELSE pos2 + 3000 END END::BIGINT
+  FROM (SELECT *, CASE WHEN cut - 200 > pos THEN cut - 200 ELSE cut END AS pos2 FROM walk WHERE cut < size)
+), pieces AS (
+  SELECT doc_id, n, trim(substr(text, pos + 1, cut - pos), ' ' || chr(10)) AS part FROM walk
+), chunks AS (
+  SELECT docs.doc_id, document_id, uri, docs.text AS document_text, row_number() OVER (PARTITION BY docs.doc_id ORDER BY n) - 1 AS chunk_index,
+    {sql_normalized('part')} AS text
+  FROM pieces JOIN docs USING (doc_id) WHERE part <> ''
+)"""
+
+
+def sql_chunk_id(strategy: str = "fixed") -> str:
+    return f"'chk_' || substr(document_id, 5) || '_{strategy}_' || lpad(chunk_index::VARCHAR, 6, '0')"
+
+
+def with_docs(body: str) -> str:
+    return f"WITH {SQL_DOCS}\n{body}"
+
+
+def with_chunks(body: str) -> str:
+    return f"WITH RECURSIVE {SQL_DOCS}, {SQL_CHUNKS}\n{body}"
