@@ -28,6 +28,8 @@ from .common import buffer_of, renamed, slices, strings
 SAMPLE_ROWS = 48
 SAMPLE_CHARS = 24_000
 MOST_LANGUAGES = 64
+#: Characters used for all languages together, at most; it bounds the tables that a worker holds.
+TOTAL_CHARS = 300_000
 #: Characters parsed before a parse starts anew.
 BLOCK = 1_024
 #: Letter classes: 0 all that isn't a letter, 1 letters not in the training texts.
@@ -88,8 +90,9 @@ def automaton(text: np.ndarray, classes: int) -> np.ndarray:
 class Model:
     """Automata of all languages in one table, with the phrase ends marked.
 
-    ``table[state * classes + class]`` is twice the next state, plus one where the phrase ended
-    before this character; the next state is then that of the character alone.
+    ``table[state * classes + class]`` is four times the next state, plus the number of phrases that
+    this character ends: the one before it, where there is no transition, and the character itself,
+    where it isn't in the training text. The next state is then that of the character alone.
     """
 
     def __init__(self, texts: dict[str, str]):
@@ -102,7 +105,8 @@ class Model:
             text = self.sequence(texts[name])
             step = automaton(text[text != 1], self.classes).astype(np.int64)
             first = np.where(step[0] < 0, 0, step[0])
-            tables.append(np.where(step < 0, 2 * (first[None, :] + base) + 1, 2 * (step + base)).astype(np.int32))
+            ended = 1 + (step[0] < 0)[None, :].astype(np.int64) * np.where(np.arange(len(step)) == 0, 0, 1)[:, None]
+            tables.append(np.where(step < 0, 4 * (first[None, :] + base) + ended, 4 * (step + base)).astype(np.int32))
             roots.append(base)
             bits.append(np.log2(max(2, len(text))))
             base += len(step)
@@ -143,10 +147,10 @@ def parse(model: Model, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at *= a
         at += kinds[start[:m] + t][:, None]
         to = model.table[at]
-        count[:m] += to & 1
-        np.right_shift(to, 1, out=at, casting="unsafe")
+        count[:m] += to & 3
+        np.right_shift(to, 2, out=at, casting="unsafe")
     total = np.zeros((len(lengths), n_lang), np.int64)
-    np.add.at(total, doc, count + 1)  # the phrase that is open at the end of a block
+    np.add.at(total, doc, count + (lanes != model.roots[None, :]))  # the phrase that is open at the end of a block
     return total
 
 
@@ -191,6 +195,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
         found = rows.where(F.col("doc_id").isin([i for _, i in chosen]) & F.col("lang").isNotNull())
         found = found.select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["lang", "doc_id"])
         by = {(r.lang, r.doc_id): r.text for r in found.collect()}
+        sample_chars = min(sample_chars, TOTAL_CHARS // len({lang for lang, _ in chosen}))
         for lang, i in chosen:
             if len(texts.get(lang, "")) < sample_chars and (lang, i) in by:
                 texts[lang] = (texts.get(lang, "") + " " + (by[lang, i] or ""))[:sample_chars]
