@@ -179,11 +179,14 @@ def provenance(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def faithfulness(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per chunk, whether its text stands, white space aside, in the blocks it cites.
 
-    ``chunks(id, document_id, text, source_refs)``, ``blocks(document_id, block_id, block_index, text, markdown)``.
+    ``chunks(id, document_id, text, source_refs)``, ``blocks(document_id, block_id, type, text, markdown)``; of a
+    block either its text counts or what a chunk shows of it, which is the Markdown of code and tables.
     """
     bare = lambda x: F.regexp_replace(x, "(?U)[\\s\\x1c-\\x1f]+", "")
     cited = chunks.select("id", F.col("text").alias("_chunk"), F.explode("source_refs").alias("r")).select("id", "_chunk", F.col("r.document_id").alias("document_id"), F.posexplode("r.block_ids").alias("_n", "block_id"))
-    texts = blocks.select("document_id", "block_id", F.coalesce(F.nullif("text", F.lit("")), "markdown", F.lit("")).alias("_text"), F.coalesce("markdown", F.lit("")).alias("_markdown"))
+    text = F.coalesce(F.nullif("text", F.lit("")), "markdown", F.lit(""))
+    shown = F.when(F.col("type").isin("code", "table"), F.coalesce(F.nullif("markdown", F.lit("")), text)).otherwise(text)
+    texts = blocks.select("document_id", "block_id", text.alias("_text"), shown.alias("_markdown"))
     joined = cited.join(texts, ["document_id", "block_id"], "left").groupBy("id").agg(F.any_value("_chunk").alias("_chunk"), F.array_sort(F.collect_list(F.struct("_n", "_text", "_markdown"))).alias("_b"))
     within = lambda field: F.contains(bare(F.array_join(F.transform("_b", lambda b: b[field]), "")), bare(F.col("_chunk")))
     return joined.select("id", F.coalesce(within("_text") | within("_markdown"), F.lit(False)).alias("faithful"))
