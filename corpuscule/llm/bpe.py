@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, renamed, slices, strings
+from .common import buffer_of, cut, renamed, slices, strings, tidied
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, words, numbers, signs and white space, as usual for byte-level vocabularies of this size.
@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
 #: Pre-tokens remembered per worker; longer ones than MEMO_CHARS aren't.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 MEMO_CHARS = 48
 #: What follows the end of a match can change it by so many characters at most.
 LOOKAHEAD = 4
@@ -120,7 +120,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
 def _encoder(shared, pattern: str) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared, pattern)
-        for batch in batches:
+        for batch in tidied(batches):
             null = batch.column(1).is_null()
             texts = strings(batch.column(1))
             for a, b in slices(texts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +45,24 @@ def scan_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; workers and the driver live on through many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, tidied up after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        tidy()
+
+
 def strings(column: pa.Array) -> pa.Array:
     """Null texts count as empty."""
     if column.type != pa.string():

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, slices, strings
+from .common import renamed, slices, strings, tidied
 
 #: Pages used for fitting, at most, and nodes of each of them, at most.
 TRAIN_PAGES = 400
@@ -338,7 +338,7 @@ def text_of(page: Page, kept: np.ndarray) -> str:
 def _extractor(shared) -> Callable:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: Trees = shared.value
-        for batch in batches:
+        for batch in tidied(batches):
             null = batch.column(1).is_null()
             sources = strings(batch.column(1))
             for a, b in slices(sources):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffer_of, renamed, slices, strings
+from .common import buffer_of, renamed, slices, strings, tidied
 
 #: Labelled rows and characters used per language, at most; the languages learnt, at most.
 SAMPLE_ROWS = 48
@@ -206,7 +206,7 @@ def _identifier(shared, most_bits: float) -> Callable:
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         names = np.array([*model.languages, None], object)
-        for batch in batches:
+        for batch in tidied(batches):
             texts = strings(batch.column(1))
             for a, b in slices(texts, 2 << 20):
                 rate, n, letters = classify(model, texts.slice(a, b - a))
@@ -255,7 +255,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, most_bits: floa
     identify = _identifier(shared, most_bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             key = pa.array(np.arange(batch.num_rows))
             only = pa.RecordBatch.from_arrays([key, batch.column(at)], ["doc_id", "text"])
             good = np.concatenate([np.zeros(0, bool), *(~out.column(4).to_numpy(zero_copy_only=False) for out in identify(iter([only])))])

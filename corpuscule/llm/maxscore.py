@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, renamed, slices, strings, word_hash, words, words_of
+from .common import Vocabulary, renamed, slices, strings, tidied, word_hash, words, words_of
 
 TOP_K = 10
 K1 = 1.2
@@ -33,7 +33,7 @@ SLACK = 2e-6
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    for batch in batches:
+    for batch in tidied(batches):
         texts = strings(batch.column(1))
         for a, b in slices(texts):
             yield batch.column(0).slice(a, b - a), texts.slice(a, b - a)

@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKEN_CLASS, buffer_of, mix, renamed, runs, slices, span_hashes, strings
+from .common import TOKEN_CLASS, buffer_of, mix, renamed, runs, slices, span_hashes, strings, tidied, tidy
 
 #: Labelled rows used, at most, half of them from either class where there are enough.
-TRAIN_ROWS = 5_000
+TRAIN_ROWS = 2_400
 #: Features are told apart by so many bits of their hash.
 FEATURE_BITS = 20
 #: Lengths in bytes of the word beginnings.
@@ -33,7 +33,7 @@ EPOCHS = 10
 INTERPOLATION = 0.75
 SEED = 7
 #: A row is kept whose quality score is at least, and whose toxic score is at most, this.
-LEAST_QUALITY = -0.1
+LEAST_QUALITY = -0.25
 MOST_TOXIC = -0.15
 
 SCORED = "doc_id long, quality_score double, toxic_score double, keep boolean"
@@ -81,17 +81,19 @@ def dual_descent(starts: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndar
     Solves the dual one coordinate at a time in random order, the weights kept up to date.
     """
     w, alpha = np.zeros(n + 1), np.zeros(len(y))
-    rows = [(np.append(cols[a:b], n), np.append(x[a:b], 1.0)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    norm = np.array([v @ v for _, v in rows])
+    bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+    norm = np.array([x[a:b] @ x[a:b] + 1 for a, b in bounds])
     rng = np.random.default_rng(SEED)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            at, v = rows[i]
-            gradient = y[i] * (w[at] @ v) - 1
+            a, b = bounds[i]
+            at, v = cols[a:b], x[a:b]
+            gradient = y[i] * (w[at] @ v + w[n]) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             if new != alpha[i]:
                 w[at] += (new - alpha[i]) * y[i] * v
+                w[n] += (new - alpha[i]) * y[i]
                 worst = max(worst, abs(new - alpha[i]) * norm[i])
                 alpha[i] = new
         if worst < 1e-3:
@@ -103,12 +105,13 @@ def fit_nbsvm(texts: list[str], positive: np.ndarray) -> tuple[np.ndarray, float
     """Weight of each feature and the bias; a score above 0 means the positive class."""
     size = 1 << FEATURE_BITS
     column = pa.array(texts, pa.string())
-    f_parts, d_parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    f_parts, d_parts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for a, b in slices(column):
         f, d = indicators(column.slice(a, b - a))
-        f_parts.append(f)
-        d_parts.append(d + a)
+        f_parts.append(f.astype(np.int32))
+        d_parts.append((d + a).astype(np.int32))
     f, d = np.concatenate(f_parts), np.concatenate(d_parts)
+    del f_parts, d_parts
     common = np.bincount(f, minlength=size) >= LEAST_ROWS
     f, d = f[common[f]], d[common[f]]
     y = np.where(positive, 1.0, -1.0)
@@ -165,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     Unlabelled rows, and labels without a document or with a null, don't count.
     """
     rows = training_rows(docs, labels, train_rows)
-    return Model([t for _, t, _, _ in rows], np.array([q == 1 for *_, q, _ in rows], bool), np.array([t == 1 for *_, t in rows], bool))
+    model = Model([t for _, t, _, _ in rows], np.array([q == 1 for *_, q, _ in rows], bool), np.array([t == 1 for *_, t in rows], bool))
+    del rows
+    tidy()
+    return model
 
 
 def _scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +182,7 @@ def _scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _scorer(shared) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             quality, toxic = _scores(shared.value, strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(quality), pa.array(toxic), pa.array((quality >= LEAST_QUALITY) & (toxic <= MOST_TOXIC))], ["doc_id", "quality_score", "toxic_score", "keep"])
 
@@ -200,7 +206,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             quality, toxic = _scores(shared.value, strings(batch.column(at)))
             yield batch.filter(pa.array((quality >= LEAST_QUALITY) & (toxic <= MOST_TOXIC)))
 

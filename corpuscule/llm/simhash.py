@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, mix, renamed, runs, scan_parts, slices, span_hashes, strings, _WORD
+from .common import _WORD, SLICE_BYTES, buffer_of, cut, mix, renamed, runs, scan_parts, slices, span_hashes, strings, tidied, tidy
 
 RADIUS = 6
 #: Bits in which the confirming signatures may differ.
@@ -114,10 +114,10 @@ def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidied(batches):
         null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
         texts = strings(batch.column(1))
-        for s, e in slices(texts):
+        for s, e in slices(texts, SLICE_BYTES // 2):
             a, b = signatures(texts.slice(s, e - s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(s, e - s), pa.array(a.view(np.int64), mask=null[s:e]), pa.array(b.view(np.int64), mask=null[s:e]), batch.column(2).slice(s, e - s)],
@@ -206,7 +206,9 @@ def _pairs(radius: int, confirm: int) -> Callable:
         del parts
         a, b = bucket_pairs(h, sig, conf, radius, confirm)
         seen = np.unique(np.stack([sig[a], conf[a], sig[b], conf[b]], 1), axis=0) if len(a) else np.zeros((0, 4), np.uint64)
+        del h, sig, conf
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(seen[:, i]).view(np.int64)) for i in range(4)], ["sa", "ca", "sb", "cb"])
+        tidy()
 
     return pairs
 

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import PATTERN, VOCABULARY, Memo, codec_of, read_ranks
-from .common import renamed, slices, strings
+from .common import renamed, slices, strings, tidied
 
 COUNTED = "doc_id long, n_tokens long, n_pre_tokens long"
 
@@ -41,7 +41,7 @@ def _counter(shared, proven, pattern: str) -> Callable:
         if not hasattr(codec, "counts"):
             codec.counts = Memo(dict.fromkeys(proven.value, 1), lambda t: len(codec.merge(t.encode())))
         tokens_in, split = codec.counts.__getitem__, codec.split
-        for batch in batches:
+        for batch in tidied(batches):
             texts = strings(batch.column(1))
             for a, b in slices(texts):
                 n, pre = [], []
