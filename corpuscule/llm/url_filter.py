@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import renamed, shared_folder
+from .common import cut, renamed, shared_folder
 
 #: Rules that a file holds at most; a longer list is joined instead.
 MOST_LISTED = 2_000_000
@@ -144,6 +144,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, most_listed: int = MOST_LIST
     spark = pages.sparkSession
     rows = renamed(pages, {"page_id": "long", "url": "string"})
     listed = renamed(rules, {"rule": "string"}).where("rule <> ''").distinct()
+    listed = cut(listed, "rules")
     if listed.count() <= most_listed:
         name = _publish(spark, digest([r.rule for r in listed.toLocalIterator()]))
         return rows.mapInArrow(_prober(name), FILTERED)
