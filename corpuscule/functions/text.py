@@ -1,7 +1,7 @@
 """Text functions: one Column expression each, and the plain-Python model that sequential operators share.
 
-Expressions stay in the JVM. Unicode composition has no built-in, so only rows with a character
-beyond ASCII pass through an Arrow UDF.
+Expressions stay in the JVM. Unicode composition has no built-in, so texts with a character
+beyond ASCII pass through an Arrow UDF; for the others it is handed nulls.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def _composed(texts: pa.Array) -> pa.Array:
 
 def compose(text: Column) -> Column:
     """Canonical composition (NFC)."""
-    return F.when(text.rlike("[^\\x00-\\x7F]"), _composed(text)).otherwise(text)
+    return F.coalesce(_composed(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
 def stripped(text: Column) -> Column:

@@ -48,13 +48,13 @@ def split_text(text: str, most: int, overlap: int) -> list[str]:
 
 
 def split_large_text(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
-    """``split_text`` as a column of arrays; rows short enough never leave the JVM."""
+    """``split_text`` as a column of arrays; a text that is short enough isn't handed to Python."""
 
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else split_text(t, most, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(split(text))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(split(F.when(F.length(text) > most, text)))
 
 
 def _of_block(block: dict[str, Any]) -> str:
