@@ -39,7 +39,7 @@ MOST_BITS = 6.5
 #: Short texts have noisy rates: below so many letters only a text without letters is rejected.
 LEAST_LETTERS = 40
 
-IDENTIFIED = "doc_id long, lang_id string, bits_per_char double, margin double, rejected boolean"
+IDENTIFIED = "doc_id long, lang_id string, bits_per_char double, margin double, keep boolean"
 
 _IS_LETTER = np.zeros(0x110000, bool)
 
@@ -225,20 +225,20 @@ def _identifier(shared, most_bits: float) -> Callable:
                         pa.array(names[best].tolist(), pa.string()),
                         pa.array(np.where(none, 0.0, least), pa.float64(), mask=none),
                         pa.array(np.where(none, 0.0, second - least), pa.float64(), mask=none),
-                        pa.array(rejected),
+                        pa.array(~rejected),
                         *(batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)),
                     ],
-                    ["doc_id", "lang_id", "bits_per_char", "margin", "rejected", *batch.schema.names[2:]],
+                    ["doc_id", "lang_id", "bits_per_char", "margin", "keep", *batch.schema.names[2:]],
                 )
 
     return identify
 
 
 def identify_languages(docs: DataFrame, model: Model | None = None, most_bits: float = MOST_BITS) -> DataFrame:
-    """``doc_id, lang_id, bits_per_char, margin, rejected`` for each row of ``docs(doc_id, text, lang, …)``.
+    """``doc_id, lang_id, bits_per_char, margin, keep`` for each row of ``docs(doc_id, text, lang, …)``.
 
     ``margin`` is how many bits a character the second language needs more. A text without letters
-    (null and empty ones too) has no language and is rejected; so is one of ``LEAST_LETTERS`` or
+    (null and empty ones too) has no language and isn't kept; nor is one of ``LEAST_LETTERS`` or
     more letters that needs over ``most_bits`` bits a character in every language. Ties go to the
     language first in the alphabet. Repeated rows each give a row, a null ``doc_id`` stays null,
     other columns are ignored. Without labelled rows, all texts with letters have a null language.
@@ -258,7 +258,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, most_bits: floa
         for batch in tidied(batches):
             key = pa.array(np.arange(batch.num_rows))
             only = pa.RecordBatch.from_arrays([key, batch.column(at)], ["doc_id", "text"])
-            good = np.concatenate([np.zeros(0, bool), *(~out.column(4).to_numpy(zero_copy_only=False) for out in identify(iter([only])))])
+            good = np.concatenate([np.zeros(0, bool), *(out.column(4).to_numpy(zero_copy_only=False) for out in identify(iter([only])))])
             yield batch.filter(pa.array(good))
 
     at = docs.columns.index("text")

@@ -36,18 +36,18 @@ def test_held_out_accuracy(spark, written):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = lang_id.fit(docs.where("doc_id < 40"))
     got = {r.doc_id: r for r in lang_id.identify_languages(docs.where("doc_id >= 40"), model).collect()}
-    assert all(got[i].lang_id == lang and not got[i].rejected for i, _, lang in rows[40:])
+    assert all(got[i].lang_id == lang and got[i].keep for i, _, lang in rows[40:])
     strange = spark.createDataFrame([(1, "zzq kxv wjp qzx " * 20), (2, "привет как дела " * 20)], "doc_id long, text string")
-    assert all(r.rejected for r in lang_id.identify_languages(strange, model).collect())
+    assert not any(r.keep for r in lang_id.identify_languages(strange, model).collect())
 
 
 def test_odd_rows(odd, clashing, nothing):
     got = lang_id.identify_languages(clashing).collect()
     assert len(got) == clashing.count()
-    assert all(r.rejected and r.lang_id is None for r in got if r.doc_id in (3, 4, 5, 6))
+    assert all(not r.keep and r.lang_id is None for r in got if r.doc_id in (3, 4, 5, 6))
     kept = lang_id.keep_identified(clashing)
     assert kept.columns == clashing.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.rejected)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
     assert lang_id.identify_languages(nothing).count() == 0
     unlabelled = lang_id.identify_languages(odd.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()
     assert all(r.lang_id is None for r in unlabelled)
