@@ -259,7 +259,7 @@ def _decided(docs: DataFrame, radius: int, confirm: int) -> DataFrame:
         F.count(F.lit(1)).over(group).alias("group_size"),
         (F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")) == 1).alias("keep"),
     )
-    alone = named.where("root is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
+    alone = named.where("root is null").select("doc_id", F.lit(None).cast("long").alias("text_hash"), F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
     return grouped.unionByName(alone)
 
 
@@ -277,13 +277,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns."""
-    names = docs.columns
-    gone = _decided(docs, radius, confirm).groupBy("doc_id", "text_hash").agg(F.bool_or("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
-    gone = cut(gone.where("not keep or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("keep").alias("_keep")), "dropped")
-    # an alias per column, so that the marks can't clash with columns of the input
+    decided = _decided(docs, radius, confirm).where("text_hash is not null")
+    gone = decided.groupBy("doc_id", "text_hash").agg(F.bool_or("keep").alias("keep"), F.count(F.lit(1)).alias("n")).where("not keep or n > 1")
+    gone = cut(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("keep").alias("_keep")), "dropped")
+    names, again = docs.columns, gone.where("_keep")
+    # the rows as structs, so that the keys can't clash with columns of the input
     rows = docs.select(F.struct(*names).alias("row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_th"))
-    joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left")
-    once = joined.where("_hash is null").select("row.*")
-    again = joined.where("_keep and row.text is not null").dropDuplicates(["_id", "_hash"]).select("row.*")
-    null = joined.where("_keep and row.text is null").select("row.*")
-    return once.unionByName(again).unionByName(null)
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash"))
+    # the same join at every size: the small side is hashed, the texts aren't sorted
+    out = rows.join(gone.hint("shuffle_hash"), same, "left_anti").select("row.*")
+    if again.isEmpty():
+        return out
+    return out.unionByName(rows.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["_doc", "_th"]).select("row.*"))
