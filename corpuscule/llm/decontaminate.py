@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, renamed, slices, strings, word_hash, words, words_of
+from .common import Vocabulary, renamed, slices, strings, tidied, word_hash, words, words_of
 
 #: Words in a block, and blocks in a passage of the counts and the matrix.
 BLOCK = 16
@@ -45,7 +45,9 @@ ANSWER_FOUND = 0.7
 LEAST_WORDS = 6
 #: Items held at once; further ones are searched in groups of as many.
 ITEMS_A_GROUP = 2_000
-TERMS_A_ROW = 4_096
+TERMS_A_ROW = 512
+#: Partitions whose shares one task adds up.
+FAN_IN = 32
 SEED = 11
 
 PAIRS = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_found boolean, kind string"
@@ -85,7 +87,7 @@ def _passage_of(at: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for batch in batches:
+    for batch in tidied(batches):
         texts = strings(batch.column(column))
         for a, b in slices(texts):
             yield batch.slice(a, b - a), texts.slice(a, b - a)
@@ -143,7 +145,7 @@ def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(len(rows[0][1]) // 8)
     for _, sums in rows:  # in the order of the partitions, so that the sum is the same each time
         total += np.frombuffer(sums)
-    return pa.table({"k": [table["k"][0].as_py()], "sums": [total.tobytes()]})
+    return pa.table({"k": [table["k"][0].as_py()], "part": [rows[0][0] // FAN_IN], "sums": [total.tobytes()]})
 
 
 class Space:
@@ -275,7 +277,11 @@ def build(docs: DataFrame, rows: list[tuple], rank: int = RANK) -> Space:
     idf = np.where(used, np.maximum(idf, 1e-3), 0.0)
     draw = np.random.default_rng(SEED).standard_normal((len(idf), rank + EXTRA)).astype(np.float32)
     shared = context.broadcast((items.vocabulary, idf, draw))
-    sums = texts.mapInArrow(_ranger(shared), "k long, part long, sums binary").groupBy("k").applyInArrow(_summed, "k long, sums binary")
+    kind = "k long, part long, sums binary"
+    sums = texts.mapInArrow(_ranger(shared), kind)
+    for _ in range(2):  # no task reads the shares of all partitions
+        sums = sums.groupBy("k", F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(_summed, kind)
+    sums = sums.groupBy("k").applyInArrow(_summed, kind)
     parts = [np.frombuffer(r.sums) for r in sums.orderBy("k").collect()]  # rank + EXTRA numbers a benchmark word
     total = np.concatenate([np.zeros(0), *parts])
     total = total.reshape(-1, draw.shape[1]) if len(total) else np.zeros(draw.shape)
