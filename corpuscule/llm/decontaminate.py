@@ -45,6 +45,8 @@ ANSWER_FOUND = 0.7
 LEAST_WORDS = 6
 #: Items held at once; further ones are searched in groups of as many.
 ITEMS_A_GROUP = 2_000
+#: Pairs of windows and items compared at once.
+COMPARED = 8_000_000
 TERMS_A_ROW = 512
 #: Partitions whose shares one task adds up.
 FAN_IN = 32
@@ -195,14 +197,17 @@ class Space:
                 window = (run[np.minimum(begin + m, blocks[doc + 1])] - run[begin]).astype(np.float32)
                 norm = np.sqrt((window**2).sum(1))
                 full = np.flatnonzero(norm > 1e-6)
-                near = window[full] @ vectors.T
-                near /= norm[full, None]
-                i, j = np.nonzero(near >= LEAST_COSINE)
-                at_block, item, cosine = full[i], who[j], near[i, j]
-                known = self.shared_weight(np.searchsorted(block, at_block), np.searchsorted(block, np.minimum(at_block + m, blocks[doc[at_block] + 1])), item, term)
-                good = known >= LEAST_WEIGHT
-                at_block, item, cosine = at_block[good], item[good], cosine[good]
-                out.append((doc[at_block], at_block - blocks[doc[at_block]], item, cosine))
+                step = max(1, COMPARED // len(who))
+                for a in range(0, len(full), step):
+                    some = full[a : a + step]
+                    near = window[some] @ vectors.T
+                    near /= norm[some, None]
+                    i, j = np.nonzero(near >= LEAST_COSINE)
+                    at_block, item, cosine = some[i], who[j], near[i, j]
+                    known = self.shared_weight(np.searchsorted(block, at_block), np.searchsorted(block, np.minimum(at_block + m, blocks[doc[at_block] + 1])), item, term)
+                    good = known >= LEAST_WEIGHT
+                    at_block, item, cosine = at_block[good], item[good], cosine[good]
+                    out.append((doc[at_block], at_block - blocks[doc[at_block]], item, cosine))
         if not out:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
         return tuple(np.concatenate([o[c] for o in out]) for c in range(4))
