@@ -56,6 +56,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "kbd", "label", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "var"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SIBLING_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_IN_HEAD = {"meta", "link", "base", "title"}
 _STOPS = {"ul", "ol", "dl", "table", "select", "body", "html"}
 _HIDDEN = {"article", "main", "nav", "header", "footer", "aside", "section"}
 _CONTENT, _OTHER = {"article", "main"}, {"nav", "header", "footer", "aside"}
@@ -80,7 +81,7 @@ class Page:
                         self.texts.append((open_nodes[-1], " "))
             elif m["end"]:
                 name = m["end"].lower()
-                if name == "head":
+                if name in ("head", "title"):
                     head = False
                 for i in range(len(open_nodes) - 1, 0, -1):
                     if self.tag[open_nodes[i]] == name:
@@ -93,10 +94,12 @@ class Page:
                 if name == "head":
                     head = True
                     continue
-                if name == "body":
-                    head = False
-                if head:
+                if name == "title" and (head or not self.texts):
+                    head = True
+                    continue
+                if head and name in _IN_HEAD:
                     continue
+                head = False
                 if name in _CLOSES_P:
                     self._close_nearest(open_nodes, {"p"})
                 if name in _SIBLING_CLOSE:
