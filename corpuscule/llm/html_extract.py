@@ -3,9 +3,9 @@
 Pages are parsed into nodes. Each node is described by the size and density of its subtree, its links,
 its attributes' tokens, its depth, and how it compares with its siblings and its parent. Trees boosted
 on logistic loss give each node the log-odds of being content. A dynamic programme over the tree then
-chooses: a subtree is kept whole, dropped whole, or its node left open and each child decided by
-itself; so no node is kept under a dropped one nor dropped under a kept one, and the choice has the
-greatest total log-odds.
+chooses: a subtree is kept whole, dropped whole, or its node left open, that is each child decided by
+itself and the node's own text by its own odds; so nothing is kept in a dropped subtree nor dropped in
+a kept one, and the choice has the greatest total log-odds.
 
 There are no labelled pages. The model is fitted on pages whose markup tells: nodes within ``article``
 or ``main`` are content, the body's other nodes aren't. Those tags, and ``nav``, ``header``,
