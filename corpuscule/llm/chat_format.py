@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, buffer_of, renamed, strings
 
