@@ -9,7 +9,7 @@ from ..build import blocks_of
 from ..functions import ids
 from ..operators import chunk, export, quality, scan, search
 from ..sources import decoders
-from .tables import SQL_CHUNKS, SQL_DOCS, chunks, corpus, sql_chunk_id, table, texts, with_chunks, with_docs
+from .tables import SQL_DOCS, chunks, corpus, sql_chunk_id, table, texts, with_chunks, with_docs
 from .text_queries import _EMAIL, _markdown
 
 Q: dict = {}
@@ -268,4 +268,4 @@ def validate_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return quality.validate_integrity(manifest, docs.join(table(spark, sf, "labels"), "doc_id", "left_semi"), made)
 
 
-__all__ = ["Q", "SQL", "SQL_CHUNKS"]
+__all__ = ["Q", "SQL"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text as tx
 from ..operators import patterns, scan
 from ..sources import decoders, files
-from .tables import SQL_SLUG, corpus, paragraph_blocks, sql_normalized, table, texts, with_docs
+from .tables import SQL_SLUG, paragraph_blocks, sql_normalized, table, texts, with_docs
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -293,4 +293,4 @@ def text_block_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.size("b").cast("long").alias("blocks"), F.aggregate("b", F.lit(0).cast("long"), lambda a, b: a + F.length(b["text"])).alias("chars"))
 
 
-__all__ = ["Q", "SQL", "corpus"]
+__all__ = ["Q", "SQL"]
