@@ -6,8 +6,8 @@ where the last one ended; few phrases mean that the document looks like that lan
 phrases are normalised to bits a character (phrases x log2 of the training length / characters),
 and the language needing the fewest wins.
 
-All parses of a batch advance together, one character a step, as gathers from the automata's dense
-transition tables. A parse starts anew every ``BLOCK`` characters, for all documents alike, which
+All parses of a batch advance together, one character a step, as gathers from the automata's
+transitions. A parse starts anew every ``BLOCK`` characters, for all documents alike, which
 bounds the number of steps; every character is parsed.
 """
 
@@ -32,10 +32,10 @@ MOST_LANGUAGES = 64
 TOTAL_CHARS = 300_000
 #: Characters parsed before a parse starts anew.
 BLOCK = 1_024
-#: Letter classes: 0 all that isn't a letter, 1 letters not in the training texts.
-LETTERS = 62
 #: A text is rejected whose best language needs more bits a character than this, or that has no letters.
 MOST_BITS = 6.5
+#: Languages of many letters (Chinese) need more: so many times what a language's own text needs is always allowed.
+OWN_SHARE = 1.25
 #: Short texts have noisy rates: below so many letters only a text without letters is rejected.
 LEAST_LETTERS = 40
 
@@ -52,10 +52,10 @@ def _letters() -> np.ndarray:
     return _IS_LETTER
 
 
-def automaton(text: np.ndarray, classes: int) -> np.ndarray:
-    """Transition table of the suffix automaton of a class sequence; -1 where there is none."""
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a class sequence; state 0 is the root."""
     most = 2 * len(text) + 2
-    step, link, length = np.full((most, classes), -1, np.int32), [-1] * most, [0] * most
+    link, length = [-1] * most, [0] * most
     go: list[dict[int, int]] = [{}]
     last = 0
     for c in text.tolist():
@@ -81,56 +81,128 @@ def automaton(text: np.ndarray, classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    for s, edges in enumerate(go):
-        for c, to in edges.items():
-            step[s, c] = to
-    return step[: len(go)]
+    return go
+
+
+def own_rate(text: np.ndarray) -> float:
+    """Bits a character that the second half of a class sequence needs against the first; 0 for a very short one."""
+    half = len(text) // 2
+    if half < LEAST_LETTERS:
+        return 0.0
+    go, s, n = automaton(text[:half]), 0, 1
+    for c in text[half:].tolist():
+        to = go[s].get(c)
+        if to is None:
+            n += s > 0
+            to = go[0].get(c, 0)
+            n += to == 0
+        s = to
+    return n * float(np.log2(half)) / (len(text) - half)
+
+
+def places(degree: np.ndarray, kinds: np.ndarray, classes: int, room: int = 2) -> tuple[np.ndarray, int]:
+    """A base for each state, no two alike, such that no two transitions share the cell base + class; the cells needed.
+
+    ``kinds`` has the transitions' classes, state by state. Bases are drawn at random, those of the
+    states with many transitions first, while the cells are empty; the first state's is 0.
+    """
+    first = np.cumsum(degree) - degree
+    wide = room * (len(kinds) + len(degree)) + classes
+    base, rng = np.full(len(degree), -1), np.random.default_rng(0)
+    full, taken, claim = np.zeros(wide + classes, bool), np.zeros(wide, bool), np.zeros(wide + classes, np.int64)
+    base[0], taken[0] = 0, True
+    full[kinds[: degree[0]]] = True
+    for low in (32, 8, 3, 1, 0):
+        who = np.flatnonzero((base < 0) & (degree >= low))
+        for _ in range(200):
+            if not len(who):
+                break
+            drawn, n = rng.integers(0, wide, len(who)), degree[who]
+            row, me = np.repeat(np.arange(len(who)), n), np.arange(len(who))
+            cell = kinds[np.repeat(first[who] - (np.cumsum(n) - n), n) + np.arange(n.sum())] + drawn[row]
+            claim[drawn] = me
+            bad = taken[drawn] | (claim[drawn] != me)
+            claim[cell] = row
+            bad |= np.bincount(row, full[cell] | (claim[cell] != row), len(who)) > 0
+            base[who[~bad]] = drawn[~bad]
+            taken[drawn[~bad]] = True
+            full[cell[~bad[row]]] = True
+            who = who[bad]
+        if len(who):
+            return places(degree, kinds, classes, 2 * room)
+    return base, wide + classes
 
 
 class Model:
-    """Automata of all languages in one table, with the phrase ends marked.
+    """Automata of all languages in one sparse table, with the phrase ends marked.
+
+    A state is known by its base. The cell ``base + class`` holds, in its upper half, the base of the
+    state whose transition it is and, in its lower half, four times the next state's base plus the
+    number of phrases that this character ends. Where the cell isn't this state's, ``fall[class]`` has
+    the same for each language: the phrase before the character ends, and the character's own too,
+    where it isn't in the training text; the next state is that of the character alone.
 
-    ``table[state * classes + class]`` is four times the next state, plus the number of phrases that
-    this character ends: the one before it, where there is no transition, and the character itself,
-    where it isn't in the training text. The next state is then that of the character alone.
+    Class 0 is all that isn't a letter, 1 letters in no training text; every other letter has its own.
     """
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
-        seen = Counter(c for t in texts.values() for c in t.lower() if _letters()[ord(c)])
-        self.alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
+        seen = Counter(c for t in texts.values() for c in t if _letters()[ord(c)])
+        self.lower = {c: c.lower() if len(c.lower()) == 1 else c for c in seen}
+        common: Counter = Counter()
+        for c, n in seen.items():
+            common[self.lower[c]] += n
+        self.alphabet = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
         self.classes = len(self.alphabet) + 2
-        tables, roots, bits, base = [], [], [], 0
+        self._table = self.lookup()
+        cells, falls, roots, bits, own, start = [np.zeros(0, np.int64)], [], [], [], [], 0
         for name in self.languages:
             text = self.sequence(texts[name])
-            step = automaton(text[text != 1], self.classes).astype(np.int64)
-            first = np.where(step[0] < 0, 0, step[0])
-            ended = 1 + (step[0] < 0)[None, :].astype(np.int64) * np.where(np.arange(len(step)) == 0, 0, 1)[:, None]
-            tables.append(np.where(step < 0, 4 * (first[None, :] + base) + ended, 4 * (step + base)).astype(np.int32))
-            roots.append(base)
+            go = automaton(text)
+            first, go[0] = go[0], {c: go[0].get(c, 0) for c in range(self.classes)}
+            degree = np.array([len(edges) for edges in go])
+            kinds = np.fromiter((c for edges in go for c in edges), np.int64, degree.sum())
+            to = np.fromiter((x for edges in go for x in edges.values()), np.int64, degree.sum())
+            base, size = places(degree, kinds, self.classes)
+            base += start
+            state = np.repeat(np.arange(len(go)), degree)
+            cell = np.full(size, -1, np.int64)
+            cell[base[state] + kinds - start] = (base[state] << 32) | (4 * base[to] + (to == 0))
+            cells.append(cell)
+            known = np.array([c in first for c in range(self.classes)])
+            falls.append((4 * base[to[: self.classes]] + np.where(known, 1, 2)).astype(np.int32))
+            roots.append(base[0])
             bits.append(np.log2(max(2, len(text))))
-            base += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
+            own.append(own_rate(text))
+            start += size
+        del self._table
+        self.cells, self.fall = np.concatenate(cells), np.column_stack(falls) if falls else np.zeros((self.classes, 0), np.int32)
+        self.roots, self.bits, self.own = np.array(roots, np.int64), np.array(bits), np.array(own)
+
+    def limits(self, most_bits: float) -> np.ndarray:
+        """Bits a character above which a text isn't in that language: ``most_bits``, but more where its own text needs about as many."""
+        return np.maximum(most_bits, np.minimum(OWN_SHARE * self.own, (self.own + self.bits) / 2))
 
     def lookup(self) -> np.ndarray:
         """Class of each code point, either case."""
-        table = _letters().astype(np.uint8)
+        table = _letters().astype(np.int32)
         for i, c in enumerate(self.alphabet):
             for x in {c, c.upper(), c.title()}:
                 if len(x) == 1:
                     table[ord(x)] = i + 2
+        for c, x in self.lower.items():
+            table[ord(c)] = table[ord(x)]
         return table
 
     def sequence(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = self.lookup()[points]
+        kinds = (self._table if hasattr(self, "_table") else self.lookup())[points]
         return kinds[(kinds > 0) | (np.concatenate([[1], kinds[:-1]]) > 0)]
 
 
 def parse(model: Model, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Phrases of each text (rows) against each language (columns)."""
-    n_lang, a = len(model.roots), model.classes
+    n_lang = len(model.roots)
     lengths = np.diff(offsets)
     blocks = -(-lengths // BLOCK)
     doc = np.repeat(np.arange(len(lengths)), blocks)
@@ -143,12 +215,11 @@ def parse(model: Model, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     count = np.zeros((len(doc), n_lang), np.int32)
     alive = np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), "left")
     for t, m in enumerate(alive.tolist()):
-        at = lanes[:m]
-        at *= a
-        at += kinds[start[:m] + t][:, None]
-        to = model.table[at]
+        at, kind = lanes[:m], kinds[start[:m] + t]
+        cell = model.cells[at + kind[:, None]]
+        to = np.where((cell >> 32) == at, cell & 0xFFFFFFFF, model.fall[kind])
         count[:m] += to & 3
-        np.right_shift(to, 2, out=at, casting="unsafe")
+        np.right_shift(to, 2, out=at)
     total = np.zeros((len(lengths), n_lang), np.int64)
     np.add.at(total, doc, count + (lanes != model.roots[None, :]))  # the phrase that is open at the end of a block
     return total
@@ -205,6 +276,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
 def _identifier(shared, most_bits: float) -> Callable:
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        limits = np.append(model.limits(most_bits), 0.0)
         names = np.array([*model.languages, None], object)
         for batch in tidied(batches):
             texts = strings(batch.column(1))
@@ -218,7 +290,7 @@ def _identifier(shared, most_bits: float) -> Callable:
                     best, least, second = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
                 none = letters == 0
                 best = np.where(none, len(names) - 1, best)
-                rejected = none | ((letters >= LEAST_LETTERS) & (least > most_bits))
+                rejected = none | ((letters >= LEAST_LETTERS) & (least > limits[best]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -239,7 +311,8 @@ def identify_languages(docs: DataFrame, model: Model | None = None, most_bits: f
 
     ``margin`` is how many bits a character the second language needs more. A text without letters
     (null and empty ones too) has no language and isn't kept; nor is one of ``LEAST_LETTERS`` or
-    more letters that needs over ``most_bits`` bits a character in every language. Ties go to the
+    more letters that needs over ``most_bits`` bits a character in its language, or over ``OWN_SHARE``
+    of what that language's own text needs, where that is more. Ties go to the
     language first in the alphabet. Repeated rows each give a row, a null ``doc_id`` stays null,
     other columns are ignored. Without labelled rows, all texts with letters have a null language.
     """

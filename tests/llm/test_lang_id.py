@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -51,3 +53,32 @@ def test_odd_rows(odd, clashing, nothing):
     assert lang_id.identify_languages(nothing).count() == 0
     unlabelled = lang_id.identify_languages(odd.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()
     assert all(r.lang_id is None for r in unlabelled)
+
+
+def han(seed: int, letters: int, first: int = 0x4E00) -> str:
+    """Text of words of one or two letters out of 2,000, some far more frequent than others."""
+    lexicon, rng = random.Random(1), random.Random(seed)
+    words = ["".join(chr(first + lexicon.randrange(2_000)) for _ in range(lexicon.randint(1, 2))) for _ in range(4_000)]
+    return "".join(rng.choices(words, [1 / (i + 3) for i in range(4_000)], k=letters))[:letters]
+
+
+def test_languages_of_many_letters_are_kept(spark, written):
+    rows = [(i, han(i, 700) if i % 2 else written(i, 100), "zh" if i % 2 else "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs.where("doc_id < 60"))
+    got = {r.doc_id: r for r in lang_id.identify_languages(docs.where("doc_id >= 60"), model).collect()}
+    assert all(got[i].lang_id == lang and got[i].keep for i, _, lang in rows[60:])
+    assert model.limits(lang_id.MOST_BITS)[0] == lang_id.MOST_BITS
+    strange = spark.createDataFrame([(1, han(1, 400, 0xAC00)), (2, "zzq kxv wjp qzx " * 20)], "doc_id long, text string")
+    assert not any(r.keep for r in lang_id.identify_languages(strange, model).collect())
+
+
+def test_parse_equals_brute_force_over_many_alphabets(written):
+    scripts = {f"s{k}": "".join(chr(0x400 + 40 * k + ord(c) % 32) if c != " " else c for c in written(k, 200)) for k in range(4)}
+    training = scripts | {"zh": han(1, 3_000), "en": written(9, 200), "none": ""}
+    model = lang_id.Model(training)
+    texts = [han(2, 300), written(3, 60), training["s1"][:90] + han(4, 30), "ÅÅ Ωω", "x"]
+    rate, n, _ = lang_id.classify(model, pa.array(texts))
+    for i, t in enumerate(texts):
+        for j, name in enumerate(model.languages):
+            assert round(rate[i, j] * n[i] / model.bits[j]) == phrases(model.sequence(t), model.sequence(training[name])), (i, name)
