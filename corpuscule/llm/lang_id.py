@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import buffer_of, renamed, slices, strings, tidied
 
-#: Labelled rows and characters used per language, at most; the languages learnt, at most.
+#: Labelled rows and characters used per language, at most.
 SAMPLE_ROWS = 48
 SAMPLE_CHARS = 24_000
-MOST_LANGUAGES = 64
 #: Characters used for all languages together, at most; it bounds the tables that a worker holds.
-TOTAL_CHARS = 300_000
+TOTAL_CHARS = 2_400_000
+#: Languages parsed against at once; further ones in turn.
+LANGUAGES_AT_ONCE = 64
 #: Characters parsed before a parse starts anew.
 BLOCK = 1_024
 #: A text is rejected whose best language needs more bits a character than this, or that has no letters.
@@ -201,8 +202,14 @@ class Model:
 
 
 def parse(model: Model, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Phrases of each text (rows) against each language (columns)."""
-    n_lang = len(model.roots)
+    """Phrases of each text (rows) against each language (columns), by groups of languages."""
+    groups = [slice(a, a + LANGUAGES_AT_ONCE) for a in range(0, len(model.roots), LANGUAGES_AT_ONCE)]
+    parts = [_parse(model.cells, model.fall[:, g], model.roots[g], kinds, offsets) for g in groups]
+    return np.column_stack([np.zeros((len(offsets) - 1, 0), np.int64), *parts])
+
+
+def _parse(cells: np.ndarray, fall: np.ndarray, roots: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    n_lang = len(roots)
     lengths = np.diff(offsets)
     blocks = -(-lengths // BLOCK)
     doc = np.repeat(np.arange(len(lengths)), blocks)
@@ -211,17 +218,17 @@ def parse(model: Model, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     left = np.minimum(BLOCK, offsets[doc + 1] - start)
     order = np.argsort(-left, kind="stable")
     doc, start, left = doc[order], start[order], left[order]
-    lanes = np.tile(model.roots, (len(doc), 1)).astype(np.int64)
+    lanes = np.tile(roots, (len(doc), 1)).astype(np.int64)
     count = np.zeros((len(doc), n_lang), np.int32)
     alive = np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), "left")
     for t, m in enumerate(alive.tolist()):
         at, kind = lanes[:m], kinds[start[:m] + t]
-        cell = model.cells[at + kind[:, None]]
-        to = np.where((cell >> 32) == at, cell & 0xFFFFFFFF, model.fall[kind])
+        cell = cells[at + kind[:, None]]
+        to = np.where((cell >> 32) == at, cell & 0xFFFFFFFF, fall[kind])
         count[:m] += to & 3
         np.right_shift(to, 2, out=at)
     total = np.zeros((len(lengths), n_lang), np.int64)
-    np.add.at(total, doc, count + (lanes != model.roots[None, :]))  # the phrase that is open at the end of a block
+    np.add.at(total, doc, count + (lanes != roots[None, :]))  # the phrase that is open at the end of a block
     return total
 
 
@@ -254,13 +261,17 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
     """A model of the languages named in ``docs(doc_id, text, lang)``.
 
     Per language it takes the labelled rows of lowest hash, ``sample_rows`` at most, and of their
-    text ``sample_chars`` at most. Rows without label, id or text don't count.
+    text ``sample_chars`` at most; all languages share ``TOTAL_CHARS`` evenly where there are so many
+    that this is less. Every label gets a model. Rows without label, id or text don't count.
     """
     rows = renamed(docs, {"doc_id": "long", "text": "string", "lang": "string"})
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    keys = rows.where("lang is not null and lang <> '' and text is not null and doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    keys = rows.where("lang is not null and lang <> '' and text is not null and doc_id is not null")
+    keys = keys.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.least(F.length("text"), F.lit(sample_chars)).alias("n"))
     keys = keys.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows)
-    chosen = [(r.lang, r.doc_id) for r in keys.orderBy("lang", "nth").limit(MOST_LANGUAGES * sample_rows).collect()]
+    keys = keys.withColumn("before", F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1)))
+    keys = keys.where(F.coalesce("before", F.lit(0)) < sample_chars)  # no more than is used
+    chosen = [(r.lang, r.doc_id) for r in keys.orderBy("lang", "nth").select("lang", "doc_id").collect()]
     texts: dict[str, str] = {}
     if chosen:
         found = rows.where(F.col("doc_id").isin([i for _, i in chosen]) & F.col("lang").isNotNull())

@@ -82,3 +82,22 @@ def test_parse_equals_brute_force_over_many_alphabets(written):
     for i, t in enumerate(texts):
         for j, name in enumerate(model.languages):
             assert round(rate[i, j] * n[i] / model.bits[j]) == phrases(model.sequence(t), model.sequence(training[name])), (i, name)
+
+
+def test_every_label_gets_a_model(spark, written):
+    """80 labels of 48 rows and more, each with letters of its own."""
+    write = lambda k, i: "".join(chr(0x4E00 + 32 * k + ord(c) % 32) if c != " " else c for c in written(i, 6))
+    rows = [(50 * k + i, write(k, i), f"l{k:02}") for k in range(80) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+    assert model.languages == [f"l{k:02}" for k in range(80)]
+    texts = pa.array([write(k, 5_000 + k) for k in range(80)])
+    rate = lang_id.classify(model, texts)[0]
+    assert rate.argmin(1).tolist() == list(range(80))
+
+
+def test_each_of_many_languages_keeps_its_sample(spark, written):
+    rows = [(i, written(i, 1_500), f"l{i % 20:02}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+    assert len(model.languages) == 20 and all(2**b > 0.95 * lang_id.SAMPLE_CHARS for b in model.bits)
