@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import TOKEN_CLASS, buffer_of, mix, renamed, runs, slices, span_hashes, strings, tidied, tidy
 
 #: Labelled rows used, at most, half of them from either class where there are enough.
-TRAIN_ROWS = 2_400
+TRAIN_ROWS = 5_000
 #: Features are told apart by so many bits of their hash.
 FEATURE_BITS = 20
 #: Lengths in bytes of the word beginnings.
@@ -33,7 +33,7 @@ EPOCHS = 10
 INTERPOLATION = 0.75
 SEED = 7
 #: A row is kept whose quality score is at least, and whose toxic score is at most, this.
-LEAST_QUALITY = -0.25
+LEAST_QUALITY = -0.1
 MOST_TOXIC = -0.15
 
 SCORED = "doc_id long, quality_score double, toxic_score double, keep boolean"

@@ -51,3 +51,18 @@ def test_odd_rows(clashing, nothing, labelled):
     assert kept.columns == clashing.columns and kept.count() == sum(r.keep for r in got)
     assert quality.score_documents(nothing, labels).count() == 0
     assert all(r.keep for r in quality.score_documents(clashing, labels.limit(0)).collect())
+
+
+def test_documents_below_the_threshold_are_dropped(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b c")], "doc_id long, text string")
+    model = quality.Model([], np.zeros(0, bool), np.zeros(0, bool))
+    for score, n in ((-0.2, 0), (-0.11, 0), (-0.1, 2), (0.5, 2)):
+        model.quality_bias = score  # all there is to the score
+        assert sum(r.keep for r in quality.score_documents(docs, None, model).collect()) == n
+        assert quality.keep_good(docs, None, model).count() == n
+
+
+def test_the_fit_uses_five_thousand_rows(spark):
+    docs = spark.range(6_000).selectExpr("id as doc_id", "'text' as text")
+    labels = spark.range(6_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    assert len(quality.training_rows(docs, labels)) == 5_000
