@@ -37,6 +37,8 @@ LEAST_WEIGHT = 0.3
 #: Share of the item's words, in order, that a copy has; that a paraphrase has, the answer found too.
 COPY = 0.8
 PARAPHRASE = 0.6
+#: Words in one run that do for the answer, where as much of the item is there as of a paraphrase; shorter parts are in one run whole.
+LEAST_RUN = 13
 #: Words of the answer: the last so many of the item, where the benchmark has no column ``answer``.
 ANSWER_WORDS = 6
 #: Share of the answer's words, in order, that must be found.
@@ -238,12 +240,20 @@ def lcs(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def shares_run(item: np.ndarray, text: np.ndarray, n: int) -> bool:
+    """Whether ``n`` words in a row of the item stand in the text in a row."""
+    runs = {item[i : i + n].tobytes() for i in range(len(item) - n + 1)}
+    return any(text[i : i + n].tobytes() in runs for i in range(len(text) - n + 1))
+
+
 def confirm(items: Items, i: int, text: np.ndarray) -> tuple[float, bool, str | None]:
     """Share of the item's words found in order, whether its answer is there, and what that makes of the text."""
     item, answer = items.words[i], items.answers[i]
     share = lcs(item, text) / len(item)
     found = len(answer) > 0 and lcs(answer, text) >= ANSWER_FOUND * len(answer)
-    return share, found, "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and found else None
+    if share >= COPY or share < PARAPHRASE:
+        return share, found, "copy" if share >= COPY else None
+    return share, found, "paraphrase" if found else "part" if shares_run(item, text, int(np.ceil(min(LEAST_RUN, PARAPHRASE * len(item))))) else None
 
 
 def contaminated(space: Space, texts: pa.Array) -> Iterator[tuple[int, int, float, float, bool, str]]:
@@ -307,8 +317,8 @@ def _spaces(docs: DataFrame, benchmark: DataFrame, rank: int) -> list[Space]:
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_ratio, answer_found, kind`` of each document that holds a benchmark item.
 
-    ``kind`` is ``copy`` (``COPY`` of the item's words in order) or ``paraphrase`` (``PARAPHRASE`` of them,
-    and the answer). Items of under ``LEAST_WORDS`` words and null or empty texts match nothing; of a text
+    ``kind`` is ``copy`` (``COPY`` of the item's words in order), ``paraphrase`` (``PARAPHRASE`` of them,
+    and the answer) or ``part`` (as many, and ``LEAST_RUN`` of them, or all of a shorter part, in one run). Items of under ``LEAST_WORDS`` words and null or empty texts match nothing; of a text
     that holds an item many times one pair is given. Repeated rows, of either table, each count; null
     ids stay null; other columns are ignored; an empty table gives no rows.
     """

@@ -81,3 +81,18 @@ def test_odd_rows(clashing, nothing, corpus):
     assert kept.columns == clashing.columns and kept.count() == clashing.count()
     assert decontaminate.find_contaminated(nothing, benchmark).count() == 0
     assert decontaminate.find_contaminated(clashing, benchmark.limit(0)).count() == 0
+
+
+def test_a_long_part_of_an_item_is_found_without_its_end(spark, written):
+    items = [(i, written(7_000 + i, 59)) for i in range(6)]
+    rows = []
+    for d in range(60):
+        words = written(d, 150).split()
+        if d < 6:  # the first 45 words of 59
+            words[60:60] = items[d][1].split()[:45]
+        rows.append((d, " ".join(words)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, d) for d in range(6)}
+    assert "part" in {r.kind for r in got if not r.answer_found}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()) == list(range(6, 60))
