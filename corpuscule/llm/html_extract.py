@@ -283,10 +283,11 @@ def fit_pages(sources: list[str]) -> Trees:
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Trees:
-    """A model of ``train_pages`` pages at most, those of lowest hash."""
+    """A model of ``train_pages`` pages at most, those of lowest hash among the ones with an ``article`` or ``main`` tag."""
     rows = renamed(pages, {"page_id": "long", "html": "string"}).where("html is not null")
-    keys = rows.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
-    found = rows.where(F.col("page_id").isin([r.page_id for r in keys])).dropDuplicates(["page_id"]).collect() if keys else []
+    telling = rows.where(F.col("html").rlike(r"(?i)<(article|main)([\s/>]|$)"))
+    keys = telling.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
+    found = telling.where(F.col("page_id").isin([r.page_id for r in keys])).dropDuplicates(["page_id"]).collect() if keys else []
     return fit_pages([r.html for r in sorted(found, key=lambda r: r.page_id)])
 
 

@@ -105,3 +105,12 @@ def test_odd_pages(spark, model):
     assert all(r.n_kept <= r.n_nodes for r in got)
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
     assert all(r.text in ("", None) for r in html_extract.extract_pages(pages.where("page_id = 3")).collect())
+
+
+def test_rare_telling_pages_are_fitted_on(spark):
+    """40 of 4,000 pages tell content; the fit takes them wherever their hashes lie."""
+    plain = lambda i: page(i).replace("article>", "div>").replace("footer>", "div>")
+    rows = [(i, page(i) if i % 100 == 0 else plain(i)) for i in range(4_000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    model = html_extract.fit(pages, 5)
+    assert len(model.leaf) == html_extract.TREES
