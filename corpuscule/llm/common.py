@@ -22,22 +22,52 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a checkpoint folder set otherwise.
+
+    Only a session on one machine may do without, as tests do: it gets a temporary folder. On a cluster
+    that would be a folder of each machine's own, so it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpuscule-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+class Scratch:
+    """Tables that one call writes to the shared folder, each dropped as soon as nothing reads it any more.
+
+    What is left in the end belongs to the DataFrame that the call returns, which reads it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes the rows and reads them back, so that no later job recomputes them, whatever executor is lost."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes these tables, where there are any."""
+        context = self.spark.sparkContext
+        for name in names:
+            if name in self.paths:
+                path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, so that no later job recomputes them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A single table in the shared folder, which stays."""
+    return Scratch(df.sparkSession).cut(df, name)
 
 
 def scan_parts(spark: SparkSession) -> int:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ TOTAL_CHARS = 2_400_000
 LANGUAGES_AT_ONCE = 64
 #: Characters parsed before a parse starts anew.
 BLOCK = 1_024
-#: A text is rejected whose best language needs more bits a character than this, or that has no letters.
-MOST_BITS = 6.5
-#: Languages of many letters (Chinese) need more: so many times what a language's own text needs is always allowed.
-OWN_SHARE = 1.25
-#: Short texts have noisy rates: below so many letters only a text without letters is rejected.
+#: A text is rejected that needs more than what its language's own text needs, plus this share of the way from there
+#: to a phrase for every character; SPARE phrases are allowed beyond that, so that short texts' chance counts don't decide.
+STRANGE = 0.27
+SPARE = 4
+#: Letters in each half of a training text from which its own rate is known; else its language rejects nothing.
 LEAST_LETTERS = 40
 
 IDENTIFIED = "doc_id long, lang_id string, bits_per_char double, margin double, keep boolean"
@@ -86,10 +87,10 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 def own_rate(text: np.ndarray) -> float:
-    """Bits a character that the second half of a class sequence needs against the first; 0 for a very short one."""
+    """Bits a character that the second half of a class sequence needs against the first; of a very short one, as many as can be."""
     half = len(text) // 2
     if half < LEAST_LETTERS:
-        return 0.0
+        return float(np.log2(max(2, len(text))))
     go, s, n = automaton(text[:half]), 0, 1
     for c in text[half:].tolist():
         to = go[s].get(c)
@@ -155,7 +156,6 @@ class Model:
             common[self.lower[c]] += n
         self.alphabet = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
         self.classes = len(self.alphabet) + 2
-        self._table = self.lookup()
         cells, falls, roots, bits, own, start = [np.zeros(0, np.int64)], [], [], [], [], 0
         for name in self.languages:
             text = self.sequence(texts[name])
@@ -176,15 +176,19 @@ class Model:
             bits.append(np.log2(max(2, len(text))))
             own.append(own_rate(text))
             start += size
-        del self._table
         self.cells, self.fall = np.concatenate(cells), np.column_stack(falls) if falls else np.zeros((self.classes, 0), np.int32)
         self.roots, self.bits, self.own = np.array(roots, np.int64), np.array(bits), np.array(own)
 
-    def limits(self, most_bits: float) -> np.ndarray:
-        """Bits a character above which a text isn't in that language: ``most_bits``, but more where its own text needs about as many."""
-        return np.maximum(most_bits, np.minimum(OWN_SHARE * self.own, (self.own + self.bits) / 2))
+    def most(self, strange: float) -> np.ndarray:
+        """Bits a character above which a text isn't in that language."""
+        return self.own + strange * np.maximum(0, self.bits - self.own)
 
-    def lookup(self) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        """Without the look-up table, which each process makes for itself."""
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    @cached_property
+    def table(self) -> np.ndarray:
         """Class of each code point, either case."""
         table = _letters().astype(np.int32)
         for i, c in enumerate(self.alphabet):
@@ -197,7 +201,7 @@ class Model:
 
     def sequence(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = (self._table if hasattr(self, "_table") else self.lookup())[points]
+        kinds = self.table[points]
         return kinds[(kinds > 0) | (np.concatenate([[1], kinds[:-1]]) > 0)]
 
 
@@ -232,20 +236,13 @@ def _parse(cells: np.ndarray, fall: np.ndarray, roots: np.ndarray, kinds: np.nda
     return total
 
 
-_cache: dict[int, np.ndarray] = {}
-
-
 def classify(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bits a character of each text for each language; its parsed characters; its letters."""
-    table = _cache.get(id(model))
-    if table is None:
-        _cache.clear()
-        table = _cache[id(model)] = model.lookup()
     data, offsets = buffer_of(texts)
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     offsets = lead[offsets]
-    kinds = table[points]
+    kinds = model.table[points]
     keep = np.empty(len(kinds), bool)
     if len(kinds):
         keep[0] = True
@@ -284,10 +281,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
     return Model(texts)
 
 
-def _identifier(shared, most_bits: float) -> Callable:
+def _identifier(shared, strange: float) -> Callable:
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        limits = np.append(model.limits(most_bits), 0.0)
+        most, spare = np.append(model.most(strange), 0.0), np.append(SPARE * model.bits, 0.0)
         names = np.array([*model.languages, None], object)
         for batch in tidied(batches):
             texts = strings(batch.column(1))
@@ -301,7 +298,7 @@ def _identifier(shared, most_bits: float) -> Callable:
                     best, least, second = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
                 none = letters == 0
                 best = np.where(none, len(names) - 1, best)
-                rejected = none | ((letters >= LEAST_LETTERS) & (least > limits[best]))
+                rejected = none | (least * n > most[best] * n + spare[best])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -317,26 +314,31 @@ def _identifier(shared, most_bits: float) -> Callable:
     return identify
 
 
-def identify_languages(docs: DataFrame, model: Model | None = None, most_bits: float = MOST_BITS) -> DataFrame:
+def identify_languages(docs: DataFrame, model: Model | None = None, strange: float = STRANGE) -> DataFrame:
     """``doc_id, lang_id, bits_per_char, margin, keep`` for each row of ``docs(doc_id, text, lang, …)``.
 
     ``margin`` is how many bits a character the second language needs more. A text without letters
-    (null and empty ones too) has no language and isn't kept; nor is one of ``LEAST_LETTERS`` or
-    more letters that needs over ``most_bits`` bits a character in its language, or over ``OWN_SHARE``
-    of what that language's own text needs, where that is more. Ties go to the
-    language first in the alphabet. Repeated rows each give a row, a null ``doc_id`` stays null,
-    other columns are ignored. Without labelled rows, all texts with letters have a null language.
+    (null and empty ones too) has no language and isn't kept; nor is one that needs more bits than its
+    language's own text does, plus ``strange`` of the way from there to a phrase a character, plus
+    ``SPARE`` phrases. Ties go to the language first in the alphabet. A very long text is parsed whole,
+    like any other. Repeated rows each give a row, a null ``doc_id`` stays null, other columns are
+    ignored, an empty table gives no rows. Without labelled rows, all texts with letters have a null
+    language and are kept.
     """
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return renamed(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_identifier(shared, most_bits), IDENTIFIED)
+    return renamed(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_identifier(shared, strange), IDENTIFIED)
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` that identification doesn't reject, with their own columns."""
+def keep_identified(docs: DataFrame, model: Model | None = None, strange: float = STRANGE) -> DataFrame:
+    """The rows of ``docs`` that ``identify_languages`` keeps, with their own columns, whatever these are called.
+
+    Null, empty and unlettered texts go; a null ``doc_id`` or ``lang`` doesn't matter; each of repeated
+    rows is kept or goes like the others; very long texts are parsed whole; an empty table stays empty.
+    """
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    identify = _identifier(shared, most_bits)
+    identify = _identifier(shared, strange)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -68,7 +69,6 @@ def test_languages_of_many_letters_are_kept(spark, written):
     model = lang_id.fit(docs.where("doc_id < 60"))
     got = {r.doc_id: r for r in lang_id.identify_languages(docs.where("doc_id >= 60"), model).collect()}
     assert all(got[i].lang_id == lang and got[i].keep for i, _, lang in rows[60:])
-    assert model.limits(lang_id.MOST_BITS)[0] == lang_id.MOST_BITS
     strange = spark.createDataFrame([(1, han(1, 400, 0xAC00)), (2, "zzq kxv wjp qzx " * 20)], "doc_id long, text string")
     assert not any(r.keep for r in lang_id.identify_languages(strange, model).collect())
 
@@ -101,3 +101,47 @@ def test_each_of_many_languages_keeps_its_sample(spark, written):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = lang_id.fit(docs)
     assert len(model.languages) == 20 and all(2**b > 0.95 * lang_id.SAMPLE_CHARS for b in model.bits)
+
+
+def test_many_models_in_one_process_agree_with_fresh_ones(written):
+    """Models made and freed one after the other, some at the same address, each with letters of its own."""
+    for k in range(30):
+        shift = lambda x, k=k: "".join(chr(0x400 + 32 * k + ord(c) % 32) if c != " " else c for c in x)
+        model = lang_id.Model({"own": shift(written(1, 300)), "en": written(2, 300)})
+        rate = lang_id.classify(model, pa.array([shift(written(3, 60)), written(4, 60)]))[0]
+        assert rate.argmin(1).tolist() == [1, 0] and (rate.min(1) < model.most(lang_id.STRANGE)).all(), k
+        again = pickle.loads(pickle.dumps(model))
+        assert "table" not in again.__dict__ and (again.table == model.table).all()
+
+
+SCRIPTS = {"en": 0x61, "ru": 0x430, "el": 0x3B1, "th": 0xE01, "ja": 0x3041}
+
+
+def scripted(seed: int, lang: str, words: int, written) -> str:
+    if lang == "zh":
+        return han(seed, 6 * words)
+    return "".join(chr(SCRIPTS[lang] + (ord(c) - 97) % 24) if c.isalpha() else c for c in written(seed, words))
+
+
+def test_six_scripts_are_kept_and_gibberish_goes_at_every_size(spark, written):
+    kept = {}
+    for size in (40, 120):
+        rows = [(1_000 * k + i, scripted(1_000 * k + i, lang, 70, written), lang) for k, lang in enumerate([*SCRIPTS, "zh"]) for i in range(size)]
+        rng = random.Random(2)
+        for k, lang in enumerate([*SCRIPTS, "zh"]):
+            for i in range(5):  # the letters of the language's own texts, in no order
+                letters = list(scripted(50_000 + i, lang, 70, written))
+                rng.shuffle(letters)
+                rows.append((100_000 + 10 * k + i, "".join(letters), None))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = {r.doc_id: r for r in lang_id.identify_languages(docs).collect()}
+        assert all(got[i].keep and got[i].lang_id == lang for i, _, lang in rows if lang)
+        kept[size] = [got[i].keep for i, _, lang in rows if not lang]
+    assert kept[40] == kept[120] and not any(kept[40][:-5])
+
+
+def test_short_texts_follow_the_same_rule(spark, written):
+    model = lang_id.Model({"en": written(1, 3_000)})
+    texts = ["a", "the", "He is on", "zq", "zqx kvj wpf zzx qkq jjv xqz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.keep for r in lang_id.identify_languages(docs, model).orderBy("doc_id").collect()] == [True, True, True, True, False]

@@ -3,6 +3,7 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -41,8 +42,9 @@ def test_run_equals_brute_force(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()))
     model = lang_id.fit(docs)
-    rate, _, letters = lang_id.classify(model, pa.array([t for _, t in rows]))
-    rows = [r for r, x, n in zip(rows, rate.min(1), letters, strict=True) if n and (n < lang_id.LEAST_LETTERS or x <= lang_id.MOST_BITS)]
+    rate, n, letters = lang_id.classify(model, pa.array([t for _, t in rows]))
+    most = model.most(lang_id.STRANGE) + lang_id.SPARE * model.bits / np.maximum(n, 1)[:, None]
+    rows = [r for i, r in enumerate(rows) if letters[i] and rate[i].min() <= most[i, rate[i].argmin()]]
     left = spark.createDataFrame(rows, "doc_id long, text string")
     good = quality.fit(left, labels)
     q, t = quality._scores(good, pa.array([t for _, t in rows]))
