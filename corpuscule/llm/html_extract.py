@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import renamed, slices, strings, tidied
 
-#: Pages used for fitting, at most, and nodes of each of them, at most.
+#: Pages used for fitting, at most, and nodes of each of them, at most, evenly spread over the page.
 TRAIN_PAGES = 400
 TRAIN_NODES_A_PAGE = 2_000
 TREES = 40
@@ -57,7 +57,6 @@ _INLINE = {"a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "kbd", "l
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SIBLING_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _IN_HEAD = {"meta", "link", "base", "title"}
-_STOPS = {"ul", "ol", "dl", "table", "select", "body", "html"}
 _HIDDEN = {"article", "main", "nav", "header", "footer", "aside", "section"}
 _CONTENT, _OTHER = {"article", "main"}, {"nav", "header", "footer", "aside"}
 _KINDS = {t: i for i, t in enumerate(["p", "div", "li", "a", "ul", "ol", "table", "td", "tr", "form", "h1", "h2", "h3", "b", "span", "pre", "blockquote", "img", "br", "input", "button"])}
@@ -69,26 +68,25 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.end, self.depth, self.attrs = ["#"], [-1], [0], [0], [""]
         self.texts: list[tuple[int, str]] = []
-        open_nodes, head = [0], False
+        self.open = [0]
+        self.named: dict[str, list[int]] = {}  # of each tag, the places in ``open`` where it stands
+        self.solid: list[int] = []  # the places in ``open`` of all that isn't inline
+        head = False
         for m in _TOKEN.finditer(source):
             kind = m.lastgroup
             if kind == "text":
                 if not head:
                     text = entities.unescape(m["text"])
                     if text.strip():
-                        self.texts.append((open_nodes[-1], text))
+                        self.texts.append((self.open[-1], text))
                     elif text and self.texts:
-                        self.texts.append((open_nodes[-1], " "))
+                        self.texts.append((self.open[-1], " "))
             elif m["end"]:
                 name = m["end"].lower()
                 if name in ("head", "title"):
                     head = False
-                for i in range(len(open_nodes) - 1, 0, -1):
-                    if self.tag[open_nodes[i]] == name:
-                        self._close(open_nodes, i)
-                        break
-                    if len(open_nodes) - i > 256:  # a stray end tag deep in open ones
-                        break
+                if self.named.get(name):
+                    self._close(self.named[name][-1])
             elif m["tag"]:
                 name = m["tag"].lower()
                 if name == "head":
@@ -101,31 +99,41 @@ class Page:
                     continue
                 head = False
                 if name in _CLOSES_P:
-                    self._close_nearest(open_nodes, {"p"})
+                    self._close_nearest({"p"})
                 if name in _SIBLING_CLOSE:
-                    self._close_nearest(open_nodes, _SIBLING_CLOSE[name])
+                    self._close_nearest(_SIBLING_CLOSE[name])
                 node = len(self.tag)
                 self.tag.append(name)
-                self.parent.append(open_nodes[-1])
-                self.depth.append(len(open_nodes))
+                self.parent.append(self.open[-1])
+                self.depth.append(len(self.open))
                 self.attrs.append(m["attrs"])
                 self.end.append(node + 1)
                 if name not in _VOID and not m["attrs"].endswith("/"):
-                    open_nodes.append(node)
-        self._close(open_nodes, 0)
-
-    def _close(self, open_nodes: list[int], i: int) -> None:
-        for node in open_nodes[i:]:
+                    self.named.setdefault(name, []).append(len(self.open))
+                    if name not in _INLINE:
+                        self.solid.append(len(self.open))
+                    self.open.append(node)
+        self._close(1)
+        self.end[0] = len(self.tag)
+        del self.open, self.named, self.solid
+
+    def _close(self, i: int) -> None:
+        """Ends the open nodes from place ``i`` on."""
+        while len(self.open) > i:
+            node = self.open.pop()
             self.end[node] = len(self.tag)
-        del open_nodes[i:]
-
-    def _close_nearest(self, open_nodes: list[int], names: set[str]) -> None:
-        for i in range(len(open_nodes) - 1, max(0, len(open_nodes) - 64), -1):
-            name = self.tag[open_nodes[i]]
+            self.named[self.tag[node]].pop()
+            if self.solid and self.solid[-1] == len(self.open):
+                self.solid.pop()
+
+    def _close_nearest(self, names: set[str]) -> None:
+        """Ends the nearest open node of these names, past inline nodes and a table's cells and rows only."""
+        for i in reversed(self.solid):
+            name = self.tag[self.open[i]]
             if name in names:
-                self._close(open_nodes, i)
+                self._close(i)
                 return
-            if name in _STOPS or name not in _INLINE and name not in ("td", "th", "tr"):
+            if name not in ("td", "th", "tr"):
                 return
 
 
@@ -176,7 +184,7 @@ def describe(pages: list[Page]) -> np.ndarray:
     n_tokens = np.zeros(n)
     for i, a in enumerate(x for p in pages for x in p.attrs):
         if a:
-            found = _ATTRIBUTE.findall(a.lower())[:64]
+            found = _ATTRIBUTE.findall(a.lower())
             n_tokens[i] = len(found)
             for t in found:
                 if t not in ("href", "class", "id"):
@@ -251,8 +259,8 @@ class Trees:
         return self.base + sum((self._one(bins, t) for t in range(len(self.leaf))), np.zeros(len(x)))
 
 
-def labelled(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes whose place in the markup tells what they are, and whether they are content."""
+def labelled(page: Page, most: int = TRAIN_NODES_A_PAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes whose place in the markup tells what they are, ``most`` of them at most, and whether they are content."""
     n = len(page.tag)
     inside = np.zeros(n, bool)
     around = np.zeros(n, bool)
@@ -260,35 +268,41 @@ def labelled(page: Page) -> tuple[np.ndarray, np.ndarray]:
         if t in _CONTENT:
             inside[i : page.end[i]] = True
             j = page.parent[i]
-            while j >= 0:
+            while j >= 0 and not around[j]:
                 around[j] = True
                 j = page.parent[j]
     for i, t in enumerate(page.tag):
         if t in _OTHER:
             inside[i : page.end[i]] = False
     known = ~around if inside.any() else np.zeros(n, bool)
-    at = np.flatnonzero(known)[:TRAIN_NODES_A_PAGE]
+    at = np.flatnonzero(known)
+    if len(at) > most:
+        at = at[np.linspace(0, len(at) - 1, most).astype(np.int64)]
     return at, inside[at]
 
 
-def fit_pages(sources: list[str]) -> Trees:
+def fit_pages(sources: list[str], train_nodes: int = TRAIN_NODES_A_PAGE) -> Trees:
     pages = [Page(s) for s in sources]
     xs, ys = [np.zeros((0, 29 + ATTRIBUTE_BUCKETS), np.float32)], [np.zeros(0, bool)]
     for p in pages:
-        at, y = labelled(p)
+        at, y = labelled(p, train_nodes)
         if len(at):
             xs.append(describe([p])[at])
             ys.append(y)
     return Trees(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
-def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Trees:
-    """A model of ``train_pages`` pages at most, those of lowest hash among the ones with an ``article`` or ``main`` tag."""
-    rows = renamed(pages, {"page_id": "long", "html": "string"}).where("html is not null")
+def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, train_nodes: int = TRAIN_NODES_A_PAGE) -> Trees:
+    """A model of ``train_pages`` pages at most, ``train_nodes`` nodes at most of each, evenly spread over it.
+
+    They are the pages of lowest hash among those with an ``article`` or ``main`` tag; of repeated ids
+    the page whose text is first in order.
+    """
+    rows = renamed(pages, {"page_id": "long", "html": "string"}).where("html is not null and page_id is not null")
     telling = rows.where(F.col("html").rlike(r"(?i)<(article|main)([\s/>]|$)"))
-    keys = telling.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
-    found = telling.where(F.col("page_id").isin([r.page_id for r in keys])).dropDuplicates(["page_id"]).collect() if keys else []
-    return fit_pages([r.html for r in sorted(found, key=lambda r: r.page_id)])
+    keys = telling.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
+    found = telling.where(F.col("page_id").isin([r.page_id for r in keys])).groupBy("page_id").agg(F.min("html").alias("html")).collect() if keys else []
+    return fit_pages([r.html for r in sorted(found, key=lambda r: r.page_id)], train_nodes)
 
 
 def decode(page: Page, odds: np.ndarray) -> np.ndarray:
@@ -364,8 +378,8 @@ def extract_pages(pages: DataFrame, model: Trees | None = None) -> DataFrame:
     """``page_id, text, n_nodes, n_kept`` for each row of ``pages(page_id, html, …)``.
 
     A null page has a null text and no nodes; an empty page, or one without content, the empty text.
-    Broken markup is read as far as it can be: what isn't closed ends with its parent. Repeated rows
-    each give a row, a null ``page_id`` stays null, other columns are ignored, an empty table gives no
+    Broken markup is read as far as it can be: what isn't closed ends with its parent, at any depth.
+    Very long pages are read whole. Repeated rows each give a row, a null ``page_id`` stays null, other columns are ignored, an empty table gives no
     rows. Where no page tells content by its markup, every node's odds are even and nothing is kept.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages))
