@@ -1,9 +1,11 @@
 """URL filters by a sorted digest array.
 
-The list's rules become a file: the 64-bit xxhash keys of all rules in order, and their full strings.
-Spark hands the file to every executor, where it is memory-mapped, so the workers of a machine share
-one copy. Each URL gives the keys of its host, its parent domains and its path's beginnings; a
-vectorised binary search finds them, and the stored string is compared, so that no collision blocks.
+The list's rules become files, each for a range of keys: the 64-bit xxhash keys of its rules in order,
+and their full strings. Spark hands the files to every executor, where they are memory-mapped, so the
+workers of a machine share one copy and only what is probed is read. Each URL gives the keys of its
+host, its parent domains and its path's beginnings; a vectorised binary search finds them, and the
+stored string is compared, so that no collision blocks. A list of any length is searched like this; it
+needs room on each executor's disk, some 60 MB for a million rules.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, renamed, shared_folder
+from .common import Scratch, renamed, shared_folder
 
-#: Rules that a file holds at most; a longer list is joined instead.
-MOST_LISTED = 2_000_000
+#: Rules in a file, about; a longer list makes more files.
+RULES_A_FILE = 2_000_000
 MAGIC = b"urldigest1\0\0\0\0\0\0"
 
 FILTERED = "page_id long, url string, blocked boolean, rule string"
@@ -73,12 +75,11 @@ class Digest:
         self.offsets = whole[24 + 8 * n : 32 + 16 * n].view(np.int64)
         self.blob = whole[32 + 16 * n :]
 
-    def find(self, keys: list[str]) -> np.ndarray:
-        """Which of the keys are listed."""
+    def find(self, keys: list[str], h: np.ndarray) -> np.ndarray:
+        """Which of the keys, whose hashes are ``h``, are listed."""
         listed = np.zeros(len(keys), bool)
         if not len(self.keys) or not keys:
             return listed
-        h = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
         at = np.searchsorted(self.keys, h)
         for i in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == h):
             j, key = int(at[i]), keys[i].encode()
@@ -90,20 +91,41 @@ class Digest:
         return listed
 
 
-_open: dict[str, Digest] = {}
+class Digests:
+    """The files of one list; the first bits of a key tell its file."""
+
+    def __init__(self, names: list[str], bits: int):
+        self.parts, self.bits = [Digest(SparkFiles.get(n)) for n in names], bits
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        h = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
+        part = part_of(h, self.bits)
+        listed = np.zeros(len(keys), bool)
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            listed[at] = self.parts[p].find([keys[i] for i in at], h[at])
+        return listed
+
+
+def part_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """The key range that each key is in, of 2^bits."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+_open: dict[str, Digests] = {}
 
 
-def _prober(name: str) -> Callable:
+def _prober(names: list[str], bits: int) -> Callable:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _open:
+        if names[0] not in _open:
             _open.clear()
-            _open[name] = Digest(SparkFiles.get(name))
+            _open[names[0]] = Digests(names, bits)
         for batch in batches:
             keys = [keys_of(u) for u in batch.column(1).to_pylist()]
             flat = [k for ks in keys for k in ks]
             rules: list[str | None] = [None] * len(keys)
             row = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
-            for i in np.flatnonzero(_open[name].find(flat)):
+            for i in np.flatnonzero(_open[names[0]].find(flat)):
                 old, new = rules[row[i]], flat[i]
                 if old is None or (len(new), new) > (len(old), old):
                     rules[row[i]] = new
@@ -125,32 +147,42 @@ def _publish(spark: SparkSession, content: bytes) -> str:
     return name
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [keys_of(u) for u in batch.column(0).to_pylist()]
-        row = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([k for ks in keys for k in ks], pa.string())], ["url", "rule"])
+def _parted(bits: int) -> Callable:
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.fromiter((xxhash.xxh64_intdigest(r) for r in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(h, bits)), batch.column(0)], ["part", "rule"])
+
+    return parted
+
+
+def _digested(table: pa.Table) -> pa.Table:
+    return pa.table({"part": [table["part"][0].as_py()], "content": [digest(table["rule"].to_pylist())]})
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, rules_a_file: int = RULES_A_FILE) -> DataFrame:
     """``page_id, url, blocked, rule`` for each row of ``pages(page_id, url, …)``, given ``rules(rule, …)``.
 
     A rule is a host (blocks it and its subdomains) or a host and the beginning of a path, compared by
     whole segments. ``rule`` is the longest rule that blocks the URL, of equally long ones the last in
-    order. Null and empty URLs aren't blocked, nor is any by a null or empty rule; repeated rows each
-    give a row; other columns are ignored; an empty table gives no rows, an empty list blocks none. A
-    list of over ``most_listed`` rules is joined on the full strings instead, with the same result.
+    order. Null and empty URLs aren't blocked, nor is any by a null or empty rule; very long ones are
+    read whole; repeated rows each give a row; other columns are ignored; an empty table gives no rows,
+    an empty list blocks none. The list is cut into as many key ranges as make files of about
+    ``rules_a_file`` rules; the driver holds one of them at a time.
     """
     spark = pages.sparkSession
     rows = renamed(pages, {"page_id": "long", "url": "string"})
-    listed = renamed(rules, {"rule": "string"}).where("rule <> ''").distinct()
-    listed = cut(listed, "rules")
-    if listed.count() <= most_listed:
-        name = _publish(spark, digest([r.rule for r in listed.toLocalIterator()]))
-        return rows.mapInArrow(_prober(name), FILTERED)
-    hits = rows.where("url is not null").select("url").distinct().mapInArrow(_explode, "url string, rule string").join(listed, "rule")
-    hits = hits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule")).alias("best"))
-    return rows.join(hits, "url", "left").select("page_id", "url", F.col("best").isNotNull().alias("blocked"), F.col("best.rule").alias("rule"))
+    scratch = Scratch(spark)
+    listed = scratch.cut(renamed(rules, {"rule": "string"}).where("rule <> ''").distinct(), "rules")
+    bits = max(0, -(-listed.count() // rules_a_file) - 1).bit_length()
+    parts = listed.mapInArrow(_parted(bits), "part long, rule string").groupBy("part").applyInArrow(_digested, "part long, content binary")
+    parts = scratch.cut(parts, "digests")
+    names = [""] * (1 << bits)
+    for r in parts.toLocalIterator():
+        names[r.part] = _publish(spark, bytes(r.content))
+    nothing = _publish(spark, digest([])) if "" in names else ""
+    scratch.drop("rules", "digests")
+    return rows.mapInArrow(_prober([n or nothing for n in names], bits), FILTERED)
 
 
 #: Pages of a host from which its share of unencrypted ones is judged.
