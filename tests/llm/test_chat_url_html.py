@@ -10,12 +10,20 @@ def test_chats_equal_plain_formatting(spark):
     rows += [(1, 0, "user", "again"), (1, 0, "user", "again"), (2, None, None, None), (None, 1, "user", "x"), (None, 0, "system", "y"), (99, 0, "user", "long" * 600_000)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     low = lambda x: (x is not None, x if x is not None else 0)
-    expected = {}
+    expected, alone = {}, []
     for c, t, r, x in sorted(rows, key=lambda v: (low(v[1]), (v[2] is not None, v[2] or ""), (v[3] is not None, v[3] or ""))):
-        expected[c] = expected.get(c, "") + f"<|im_start|>{r or 'unknown'}\n{x or ''}<|im_end|>\n"
+        turn = f"<|im_start|>{r or 'unknown'}\n{x or ''}<|im_end|>\n"
+        if c is None:
+            alone.append(turn)
+        else:
+            expected[c] = expected.get(c, "") + turn
     got = chat_format.format_chats(table.select("*", F.lit(1).alias("n_turns"), F.lit("z").alias("header"))).collect()
-    assert {r.conv_id: r.text for r in got} == expected
+    assert {r.conv_id: r.text for r in got if r.conv_id is not None} == expected and len(got) == len(expected) + len(alone)
+    assert sorted(r.text for r in got if r.conv_id is None) == sorted(alone) and all(r.n_turns == 1 for r in got if r.conv_id is None)
     assert sum(r.n_turns for r in got) == len(rows)
+    most = max(len(x.encode()) for c, x in expected.items() if c != 99)
+    short = chat_format.format_chats(table, most_bytes=most).collect()
+    assert {r.conv_id: r.text for r in short if r.conv_id is not None} == expected | {99: None} and sum(r.n_turns for r in short) == len(rows)
     assert chat_format.format_chats(table.limit(0)).count() == 0
 
 
@@ -26,7 +34,7 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("most", [100, 0])
+@pytest.mark.parametrize("most", [100, 1])
 def test_urls_equal_set_membership(spark, most):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(URLS)] + [(0, URLS[0][0]), (None, URLS[0][0])], "page_id long, url string")
     rules = spark.createDataFrame([(r,) for r in RULES], "rule string")
@@ -45,7 +53,18 @@ def test_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: 7)
     path = tmp_path / "d"
     path.write_bytes(url_filter.digest(["a", "bb", "ccc"]))
-    assert url_filter.Digest(str(path)).find(["a", "b", "bb", "ccc", "cc", ""]).tolist() == [True, False, True, True, False, False]
+    keys = ["a", "b", "bb", "ccc", "cc", ""]
+    assert url_filter.Digest(str(path)).find(keys, np.full(6, 7, np.uint64)).tolist() == [True, False, True, True, False, False]
+
+
+def test_long_lists_make_many_files_with_the_same_result(spark):
+    """3,000 rules in one file and in 64."""
+    rules = spark.range(3_000).selectExpr("concat('h', id, '.example') as rule")
+    pages = spark.range(9_000).selectExpr("id as page_id", "concat('http://www.h', id % 4500, '.example/', id) as url")
+    for n in (10_000, 60):
+        got = url_filter.filter_urls(pages, rules, n)
+        assert got.where("blocked").count() == got.where("page_id % 4500 < 3000").count() == 6_000
+        assert got.where("blocked and rule <> concat('h', page_id % 4500, '.example')").count() == 0
 
 
 def page(i, words="some words of the article here, and more of them."):
