@@ -5,8 +5,8 @@ cut into chunks that overlap; all chunks are split in parallel, neighbours are s
 position in their overlap where both begin a pre-token, and the pieces between those positions are
 encoded in parallel. Splitting from a position depends only on the text after it, so a shared
 position makes all that follows the same as in one pass; where an overlap has none (a single run
-longer than the overlap), the rest of that text stays one piece. Either way the ids equal those of
-the text encoded at once.
+longer than the overlap), that text is cut again into longer chunks with wider overlaps. Either way
+the ids equal those of the text encoded at once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, renamed, slices, strings, tidied
+from .common import Scratch, buffer_of, renamed, slices, strings, tidied
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, words, numbers, signs and white space, as usual for byte-level vocabularies of this size.
@@ -169,25 +169,45 @@ def _zones(shared, pattern: str, chunk: int, overlap: int) -> Callable:
     return zones
 
 
-def stitch(zones: list[tuple[list[int], list[int]]], chunk: int) -> list[int]:
-    """Positions at which the pieces of one text begin, given the zones of its chunks in order."""
+def stitch(zones: list[tuple[list[int], list[int]]], chunk: int) -> tuple[list[int], bool]:
+    """Positions at which the pieces of one text begin, given the zones of its chunks in order; whether all overlaps gave one."""
     cuts = [0]
     for k in range(1, len(zones)):
         both = set(zones[k - 1][1]) & set(zones[k][0])
         if not both:
-            break  # what follows has no proven boundary: it stays with the last piece
+            return cuts, False  # what follows has no proven boundary
         cuts.append(k * chunk + min(both))
-    return cuts
+    return cuts, True
 
 
 def _stitched(chunk: int) -> Callable:
     def stitched(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["k"].to_pylist(), table["head"].to_pylist(), table["tail"].to_pylist(), strict=True))
-        return pa.table({"key": [table["key"][0].as_py()], "cuts": pa.array([stitch([(h, t) for _, h, t in rows], chunk)], pa.list_(pa.int64()))})
+        cuts, whole = stitch([(h, t) for _, h, t in rows], chunk)
+        return pa.table({"key": [table["key"][0].as_py()], "cuts": pa.array([cuts], pa.list_(pa.int64())), "whole": [whole]})
 
     return stitched
 
 
+def _cuts(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int, scratch: Scratch) -> DataFrame:
+    """``key, cuts`` of each of ``texts(key, text)``; texts with an overlap that gives no boundary again with a wider one.
+
+    A round's chunks are wider than its overlaps, so it ends at the latest when a chunk holds the longest text.
+    """
+    done, n = None, 0
+    while True:
+        zones = texts.mapInArrow(_chunks(chunk, overlap), "key string, k long, part string, last boolean").repartition("key", "k")
+        zones = zones.mapInArrow(_zones(shared, pattern, chunk, overlap), "key string, k long, head array<int>, tail array<int>")
+        found = scratch.cut(zones.groupBy("key").applyInArrow(_stitched(chunk), "key string, cuts array<long>, whole boolean"), f"cuts-{n}")
+        good = found.where("whole").select("key", "cuts")
+        done = good if done is None else done.unionByName(good)
+        left = found.where("not whole").select("key")
+        if left.isEmpty():
+            return done
+        texts, n = texts.join(left, "key", "left_semi"), n + 1
+        chunk, overlap = 8 * chunk, 8 * overlap
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text, cuts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -218,7 +238,8 @@ def encode_documents(
     """``doc_id, token_ids, n_tokens, round_trip`` for each row of ``docs(doc_id, text, …)``.
 
     ``round_trip`` tells whether the ids decode to the text's own bytes. A null text has null ids, no
-    tokens and a null ``round_trip``; an empty one has an empty list. Repeated rows each give a row,
+    tokens and a null ``round_trip``; an empty one has an empty list; a very long one, of one run even,
+    is encoded whole. Repeated rows each give a row,
     a null ``doc_id`` stays null, other columns are ignored and an empty table gives no rows.
     """
     if not 8 * LOOKAHEAD <= overlap_chars < chunk_chars:
@@ -238,17 +259,17 @@ def encode_documents(
         F.when(~null, F.col("round_trip")).alias("round_trip"),
     )
 
-    texts = cut(rows.where(is_long).select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"]), "long-texts")
-    zones = texts.mapInArrow(_chunks(chunk_chars, overlap_chars), "key string, k long, part string, last boolean").repartition("key", "k")
-    zones = zones.mapInArrow(_zones(shared, pattern, chunk_chars, overlap_chars), "key string, k long, head array<int>, tail array<int>")
-    cuts = zones.groupBy("key").applyInArrow(_stitched(chunk_chars), "key string, cuts array<long>")
+    scratch = Scratch(spark)
+    long = scratch.cut(rows.where(is_long).select("doc_id", F.sha2("text", 256).alias("key"), "text"), "long")
+    texts = scratch.cut(long.select("key", "text").dropDuplicates(["key"]), "long-texts")
+    cuts = _cuts(texts, shared, pattern, chunk_chars, overlap_chars, scratch)
     pieces = texts.join(cuts, "key").mapInArrow(_pieces, "key string, k long, piece string").repartition("key", "k")
     ids = pieces.mapInArrow(_piece_encoder(shared, pattern), "key string, k long, ids array<int>, same boolean")
     whole = ids.groupBy("key").agg(
         F.expr("flatten(transform(array_sort(collect_list(struct(k, ids))), x -> x.ids))").alias("token_ids"), F.bool_and("same").alias("round_trip")
     )
-    long = rows.where(is_long).select("doc_id", F.sha2("text", 256).alias("key")).join(whole, "key")
-    return short.unionByName(long.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip"))
+    out = long.select("doc_id", "key").join(whole, "key")
+    return short.unionByName(out.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip"))
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -51,7 +51,7 @@ def test_stitching_random_texts():
             part = text[k : k + chunk + overlap]
             last = k + chunk + overlap >= len(text)
             zones.append(([p for p in ends(part) if p < overlap], [p - chunk for p in ends(part) if chunk <= p and (last or p < len(part) - bpe.LOOKAHEAD)]))
-        cuts = bpe.stitch(zones, chunk)
+        cuts, _ = bpe.stitch(zones, chunk)
         assert set(cuts) <= {0, *ends(text)}, (trial, text, cuts)
 
 
@@ -77,3 +77,17 @@ def test_decoding_is_concatenation():
     codec = bpe.Codec(RANKS)
     ids = np.random.default_rng(1).integers(0, len(RANKS), 500)
     assert codec.decode(ids).tobytes() == b"".join(RANKS[i] for i in ids)
+
+
+def test_texts_around_a_long_run_are_cut_on_both_sides(spark):
+    """A run longer than several chunks ends neither the result nor the pieces before and after it."""
+    words = "some words and 12 numbers, "
+    rows = [(1, words * 40 + "x" * 3_000 + words * 400), (2, "y" * 5_000), (3, words * 300), (4, " " * 4_000 + "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bpe.encode_documents(docs, chunk_chars=512, overlap_chars=64).collect()
+    assert sorted((r.doc_id, r.token_ids) for r in got) == expected(rows) and all(r.round_trip for r in got)
+    texts = docs.selectExpr("cast(doc_id as string) as key", "text")
+    shared = spark.sparkContext.broadcast(RANKS)
+    cuts = {r.key: r.cuts for r in bpe._cuts(texts, shared, bpe.PATTERN, 512, 64, bpe.Scratch(spark)).collect()}
+    run = len(words) * 40 + 3_000
+    assert sum(c > run for c in cuts["1"]) >= 2 and cuts["2"][0] == 0 and len(cuts["3"]) > 10
