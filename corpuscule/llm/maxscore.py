@@ -4,9 +4,10 @@ A first pass counts, over all documents, their number, their length and the docu
 query term. A second one indexes the documents in shards, the query terms' postings only, and runs
 MaxScore on each: a query's terms, ordered by the most they can add, split into those that together
 can't reach the score of the k-th best so far (non-essential) and the rest (essential). Documents in
-essential postings are scored; the others are probed only for documents that can still compete. The
-shards of a partition are searched one after the other and share their thresholds; the partitions'
-best are merged.
+essential postings are scored; the others are probed only for documents that can still compete. A
+shard is searched in ranges of documents, short ones first, and the split is made anew for each, so
+that the first few documents' scores spare most postings of the rest. The shards of a partition are
+searched one after the other and share their thresholds; the partitions' best are merged.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ K1 = 1.2
 B = 0.75
 #: Postings in a shard, about.
 SHARD_POSTINGS = 1_500_000
+#: Documents in a shard's first range and in its longest; ranges double in between.
+FIRST_RANGE, LONGEST_RANGE = 128, 8_192
+#: Non-essential terms probed at once, and how many postings are read in the time of one probe.
+PROBED = 8
+PROBE_COST = 8
 #: Queries whose terms are held at once; further ones are searched in groups of as many.
 QUERIES_A_GROUP = 4_000
 #: Scores are given, compared and tied to so many decimals.
@@ -56,61 +62,107 @@ def _statistics(shared) -> Callable:
     return count
 
 
+class Best:
+    """The best k of a query so far: scores rounded, highest first, of equal ones the smallest id first, null ones last."""
+
+    def __init__(self, k: int):
+        self.k, self.score, self.held, self.null = k, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    @property
+    def least(self) -> float:
+        """What a document has to score at least to be among them."""
+        return float(self.score[-1]) if len(self.score) == self.k else 0.0
+
+    def add(self, score: np.ndarray, held: np.ndarray, null: np.ndarray) -> None:
+        score = np.concatenate([self.score, np.round(score, DECIMALS)])
+        held, null = np.concatenate([self.held, held]), np.concatenate([self.null, null])
+        order = np.lexsort((held, null, -score))[: self.k]
+        self.score, self.held, self.null = score[order], held[order], null[order]
+
+
 class Shard:
     """Postings by term: documents in order, and what each adds to a score."""
 
-    def __init__(self, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, lengths: np.ndarray, idf: np.ndarray, average: float):
+    def __init__(self, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, lengths: np.ndarray, idf: np.ndarray, average: float, ids: np.ndarray | None = None, null: np.ndarray | None = None):
         norm = K1 * (1 - B + B * lengths / average) if average else np.full(len(lengths), K1)
         self.n = len(lengths)
-        order = np.argsort(term * np.int64(max(1, self.n)) + doc, kind="stable")
-        term, self.doc, tf = term[order], doc[order], tf[order].astype(float)
+        self.ids = np.arange(self.n) if ids is None else ids
+        self.null = np.zeros(self.n, bool) if null is None else null
+        key = term * np.int64(max(1, self.n)) + doc
+        order = np.argsort(key, kind="stable")
+        term, self.key, self.doc, tf = term[order], key[order], doc[order], tf[order].astype(float)
         self.adds = idf[term] * (tf * (K1 + 1) / (tf + norm[self.doc]))
-        self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
         self.most = np.zeros(len(idf))
         np.maximum.at(self.most, term, self.adds)
+        self.ranges, width = [0], FIRST_RANGE
+        while self.ranges[-1] < self.n:
+            self.ranges.append(min(self.n, self.ranges[-1] + width))
+            width = min(2 * width, LONGEST_RANGE)
+        #: Where each term's postings of each range begin.
+        self.cuts = np.searchsorted(self.key, (np.arange(len(idf)) * np.int64(max(1, self.n)))[:, None] + np.array(self.ranges)[None, :])
+        #: Postings of queries' terms, and those of them that were neither scored nor probed.
+        self.postings = self.skipped = 0
+
+    def probe(self, terms: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What each of the terms (rows) adds to each of these documents (columns)."""
+        wanted = terms[:, None] * np.int64(max(1, self.n)) + docs[None, :]
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return np.where(self.key[at] == wanted, self.adds[at], 0.0)
 
-    def probe(self, t: int, docs: np.ndarray) -> np.ndarray:
-        """What the term adds to each of these documents."""
-        a, b = self.starts[t], self.starts[t + 1]
-        if a == b:
-            return np.zeros(len(docs))
-        at = np.minimum(np.searchsorted(self.doc[a:b], docs), b - a - 1)
-        return np.where(self.doc[a:b][at] == docs, self.adds[a:b][at], 0.0)
+    def scores(self, terms: np.ndarray, r: int) -> np.ndarray:
+        """What the terms' postings add to each document of a range."""
+        begin, size = self.cuts[terms, r], self.cuts[terms, r + 1] - self.cuts[terms, r]
+        ends = np.cumsum(size)
+        at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.doc[at] - self.ranges[r], self.adds[at], self.ranges[r + 1] - self.ranges[r])
 
-    def search(self, terms: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """All documents that score ``least`` or more, and their scores; terms are added up in the order given."""
+    def search(self, terms: np.ndarray, best: Best) -> None:
+        """Adds to ``best`` what of the shard belongs there; terms are added up in the order given."""
         here = terms[self.most[terms] > 0]
         if not len(here):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return
         order = here[np.argsort(self.most[here], kind="stable")]
         bound = np.cumsum(self.most[order])
-        split = int(np.searchsorted(bound, least - SLACK, "left"))
-        if split == len(order):
-            return np.zeros(0, np.int64), np.zeros(0)
-        rest = bound[split - 1] if split else 0.0
-        score = np.zeros(self.n)
-        for t in order[split:]:
-            a, b = self.starts[t], self.starts[t + 1]
-            score[self.doc[a:b]] += self.adds[a:b]
-        docs = np.flatnonzero((score > 0) & (score + rest >= least - SLACK))
-        score = score[docs]
-        for i in range(split - 1, -1, -1):
-            if not len(docs):
-                break
-            score = score + self.probe(order[i], docs)
-            left = bound[i - 1] if i else 0.0
-            near = score + left >= least - SLACK
-            docs, score = docs[near], score[near]
-        exact = np.zeros(len(docs))
-        for t in here:
-            exact += self.probe(t, docs)
-        return docs, exact
+        self.postings += int((self.cuts[here, -1] - self.cuts[here, 0]).sum())
+        for r, low in enumerate(self.ranges[:-1]):
+            split = int(np.searchsorted(bound, best.least - SLACK, "left"))
+            if split == len(order):  # no document left can compete
+                self.skipped += int((self.cuts[here, -1] - self.cuts[here, r]).sum())
+                return
+            size = self.cuts[order, r + 1] - self.cuts[order, r]
+            self.skipped += int(size[:split].sum())
+            score = self.scores(order[split:], r)
+            rest = bound[split - 1] if split else 0.0
+            docs = np.flatnonzero((score > 0) & (score + rest >= best.least - SLACK))
+            score, docs = score[docs], docs + low
+            for i in range(split, 0, -PROBED):
+                if not len(docs):
+                    break
+                some, n = order[max(0, i - PROBED) : i], int(size[max(0, i - PROBED) : i].sum())
+                probes = len(some) * len(docs)
+                if PROBE_COST * probes < n:
+                    self.skipped -= probes
+                    score = score + self.probe(some, docs).sum(0)
+                else:  # so many documents compete that reading the postings is cheaper
+                    self.skipped -= n
+                    score = score + self.scores(some, r)[docs - low]
+                left = bound[i - PROBED - 1] if i > PROBED else 0.0
+                near = score + left >= best.least - SLACK
+                docs, score = docs[near], score[near]
+            if len(docs) > best.k:  # the k best of these leave the others no place
+                near = score >= np.partition(score, -best.k)[-best.k] - SLACK
+                docs = docs[near]
+            if len(docs):
+                adds, exact = self.probe(here, docs), np.zeros(len(docs))
+                for row in adds:
+                    exact += row
+                best.add(exact, self.ids[docs], self.null[docs])
 
 
 def _searcher(shared, k: int) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, queries, idf, average = shared.value
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)) for _ in queries]
+        best = [Best(k) for _ in queries]
         parts: list[list[np.ndarray]] = [[], [], [], []]
         ids: list[pa.Array] = []
         rows = postings = 0
@@ -119,18 +171,9 @@ def _searcher(shared, k: int) -> Callable:
             nonlocal rows, postings
             term, doc, tf, lengths = (np.concatenate(p) for p in parts)
             names = pa.concat_arrays(ids)
-            null = names.is_null().to_numpy(zero_copy_only=False)
-            number = names.fill_null(0).to_numpy()
-            shard = Shard(term, doc, tf, lengths, idf, average)
-            for q, terms in enumerate(queries):
-                score, held, none = best[q]
-                least = score[-1] if len(score) == k else 0.0
-                docs, found = shard.search(terms, least)
-                if len(docs):
-                    score = np.concatenate([score, np.round(found, DECIMALS)])
-                    held, none = np.concatenate([held, number[docs]]), np.concatenate([none, null[docs]])
-                    order = np.lexsort((held, none, -score))[:k]
-                    best[q] = (score[order], held[order], none[order])
+            shard = Shard(term, doc, tf, lengths, idf, average, names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False))
+            for terms, so_far in zip(queries, best, strict=True):
+                shard.search(terms, so_far)
             for p in parts:
                 p.clear()
             ids.clear()
@@ -149,10 +192,10 @@ def _searcher(shared, k: int) -> Callable:
                 flush()
         if rows:
             flush()
-        at = np.repeat(np.arange(len(best)), [len(s) for s, _, _ in best])
+        at = np.repeat(np.arange(len(best)), [len(b.score) for b in best])
         if len(at):
-            score, held, none = (np.concatenate([b[i] for b in best]) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held, mask=none), pa.array(score)], ["query", "doc_id", "score"])
+            score, held, null = (np.concatenate([getattr(b, x) for b in best]) for x in ("score", "held", "null"))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held, mask=null), pa.array(score)], ["query", "doc_id", "score"])
 
     return search
 
@@ -181,8 +224,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
 
     Scores are BM25 over the query's distinct words, rounded to six decimals; of equal scores the
     smaller ``doc_id`` comes first, a null one last. Documents that share no word with the query
-    aren't results, so null, empty and unmatched queries have none. Repeated rows, of either table,
-    each count; other columns are ignored; an empty table gives no rows.
+    aren't results, so null, empty and unmatched queries have none. Very long texts count whole.
+    Repeated rows, of either table, each count; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = renamed(docs, {"doc_id": "long", "text": "string"})

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuscule.llm import maxscore
@@ -35,21 +36,46 @@ def test_results_equal_brute_force(spark, written, clashing):
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_pruning_loses_nothing(seed):
+@pytest.mark.parametrize("first,longest", [(128, 8_192), (3, 50)])
+def test_pruning_loses_nothing(seed, first, longest, monkeypatch):
+    """Against all documents scored in full, over three shards with ties and thresholds handed on."""
+    monkeypatch.setattr(maxscore, "FIRST_RANGE", first)
+    monkeypatch.setattr(maxscore, "LONGEST_RANGE", longest)
     rng = np.random.default_rng(seed)
-    n, vocabulary = 400, 30
-    pair = np.unique(rng.integers(0, n * vocabulary, 4_000))
-    term, doc = pair % vocabulary, pair // vocabulary
+    n, vocabulary, shards = 400, 30, []
     idf = rng.uniform(0.1, 6, vocabulary)
-    shard = maxscore.Shard(term, doc, rng.integers(1, 5, len(pair)), rng.integers(20, 90, n), idf, 50.0)
+    for _ in range(3):
+        pair = np.unique(rng.integers(0, n * vocabulary, 4_000))
+        shards.append((pair % vocabulary, pair // vocabulary, rng.integers(1, 3, len(pair)), rng.integers(2, 4, n) * 20))
+    made = [maxscore.Shard(*s, idf, 50.0, np.arange(n) + n * i, rng.random(n) < 0.02) for i, s in enumerate(shards)]
     for _ in range(20):
-        terms = rng.choice(vocabulary, 8, replace=False)
-        docs, score = shard.search(terms, 0.0)
-        least = np.sort(score)[-10]
-        some, again = shard.search(terms, least)
-        there = dict(zip(some.tolist(), again.tolist(), strict=True))
-        assert len(some) < len(docs)
-        assert all(there.get(d) == s for d, s in zip(docs.tolist(), score.tolist(), strict=True) if s >= least)
+        terms, best, rows = rng.choice(vocabulary, 8, replace=False), maxscore.Best(10), []
+        for shard, (term, doc, tf, lengths) in zip(made, shards, strict=True):
+            shard.search(terms, best)
+            full = np.zeros(n)
+            for t, d, f in zip(term, doc, tf, strict=True):
+                if t in terms:
+                    full[d] += idf[t] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lengths[d] / 50)))
+            rows += [(-round(x, 6), bool(z), int(i)) for x, z, i in zip(full.tolist(), shard.null, shard.ids, strict=True) if x > 0]
+        assert [(-s, z, i) for s, z, i in zip(best.score.tolist(), best.null.tolist(), best.held.tolist(), strict=True)] == sorted(rows)[:10]
+    assert all(0 <= s.skipped <= s.postings for s in made)
+
+
+def test_prose_is_pruned_within_one_shard(written):
+    """Most postings of a query's terms are spared, in the first shard already."""
+    texts = pa.array([written(i, 60) for i in range(3_000)])
+    h, doc = maxscore.words(texts)
+    queries = [np.array(sorted({maxscore.word_hash(w) for w in words_of(written(q, 60))}), np.uint64) for q in range(0, 3_000, 100)]
+    vocabulary = maxscore.Vocabulary(np.concatenate(queries))
+    at, term = vocabulary.find(h)
+    pair, tf = np.unique(doc[at] * len(vocabulary) + term, return_counts=True)
+    df = np.bincount(pair % len(vocabulary), minlength=len(vocabulary))
+    shard = maxscore.Shard(pair % len(vocabulary), pair // len(vocabulary), tf, np.bincount(doc, minlength=3_000), np.log(1 + (3_000 - df + 0.5) / (df + 0.5)), len(h) / 3_000)
+    for q, words in enumerate(queries):
+        best = maxscore.Best(10)
+        shard.search(vocabulary.find(words)[1], best)
+        assert best.held[0] == 100 * q
+    assert shard.skipped > 0.3 * shard.postings
 
 
 def test_groups_of_queries_and_empty_tables(spark, odd, nothing, monkeypatch):
