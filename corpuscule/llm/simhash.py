@@ -8,7 +8,10 @@ hashes of its own) confirms a pair: it must be within ``confirm`` bits too.
 
 Texts of equal signatures are one node, so exact copies cost nothing; buckets are searched whole,
 without a cap. In a large bucket a breadth-first search emits a spanning forest in place of all
-pairs, which leaves the connected groups as they are.
+pairs, which leaves the connected groups as they are. A bucket with far too many nodes is split by a
+second family of masks, drawn anew: any two of its nodes within the radius agree under one of those
+too. Such buckets are known beforehand from a sample of the nodes, so that none goes to one task; the
+sample decides only where pairs are looked for, not which are found.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD, SLICE_BYTES, buffer_of, cut, mix, renamed, runs, scan_parts, slices, span_hashes, strings, tidied, tidy
+from .common import _WORD, SLICE_BYTES, Scratch, buffer_of, mix, renamed, runs, scan_parts, slices, span_hashes, strings, tidied, tidy
 
 RADIUS = 6
 #: Bits in which the confirming signatures may differ.
@@ -29,8 +32,14 @@ CONFIRM = 14
 #: Weight of the trigrams of a short text, and the number of words at which it is halved.
 TRIGRAM_WEIGHT = 1.5
 TRIGRAM_WORDS = 150
-#: Rows of the tables that one task searches, about.
+#: Entries of the tables that one task searches, about.
 ROWS_A_TASK = 1_500_000
+#: Nodes from which a bucket is split by another family of masks, and how often that is repeated.
+HOT = 16_384
+DEPTH = 3
+#: One node in so many is looked at to know hot buckets beforehand; so many of these are listed at most, the fullest.
+LOOKED_AT = 256
+MOST_LISTED = 100_000
 SEED = 20_240_607
 
 _TRI = np.zeros(256, np.uint8)
@@ -39,14 +48,14 @@ _TRI[ord("0") : ord("9") + 1] = 27
 _TRI[128:] = 28 + (np.arange(128) & 3)
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
-    """The bits that count in each table.
+def masks(radius: int = RADIUS, bits: int = 64, family: int = 0) -> np.ndarray:
+    """The bits that count in each table of a family.
 
     Every bit position gets a vector of radius+1 random bits; the table of vector v counts the
     positions whose vector has an odd product with v. ``radius`` differing positions span less
     than the whole space, so some v is orthogonal to all of them: its table ignores them all.
     """
-    rng = np.random.default_rng(SEED)
+    rng = np.random.default_rng(SEED + family)
     position = rng.integers(0, 1 << (radius + 1), bits, dtype=np.uint64)
     found = []
     for v in range(1, 1 << (radius + 1)):
@@ -131,25 +140,95 @@ def sign(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signer, "doc_id long, sig long, conf long, text_hash long")
 
 
-def _spread(tables: np.ndarray) -> Callable:
-    """Each signature's row in each table: the bucket, and both signatures."""
-    salt = mix(np.arange(len(tables), dtype=np.uint64), 0xB0C4E7)
+#: A node in a table: its signatures, the table, and the table of the second family (from 1) where the bucket is split.
+ENTRY = np.dtype([("sig", "<u8"), ("conf", "<u8"), ("first", "u1"), ("second", "u1")])
+
+
+class Tables:
+    """Which bucket a signature falls into, in each table of both families."""
+
+    def __init__(self, radius: int):
+        self.first, self.second = masks(radius), masks(radius, family=1)
+        self.salt = mix(np.arange(len(self.first), dtype=np.uint64), 0xB0C4E7)
+
+    def bucket(self, sig: np.ndarray, table: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((sig & self.first[table]) + self.salt[table])
+
+    def within(self, bucket: np.ndarray, sig: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The bucket, within a split one, in a table of the second family."""
+        with np.errstate(over="ignore"):
+            return mix(bucket * np.uint64(0x9E3779B97F4A7C15) + mix((sig & self.second[table]) + self.salt[table], 0x51D))
+
+    def of(self, entries: np.ndarray) -> np.ndarray:
+        """The bucket of each entry."""
+        h = self.bucket(entries["sig"], entries["first"])
+        at = np.flatnonzero(entries["second"])
+        if len(at):
+            h[at] = self.within(h[at], entries["sig"][at], entries["second"][at] - 1)
+        return h
+
+
+def _entries(tables: Tables, sig: np.ndarray, conf: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of these nodes, and their buckets; ``hot`` has the buckets to be split, in order."""
+    n = len(tables.first)
+    node, first = np.repeat(np.arange(len(sig)), n), np.tile(np.arange(n), len(sig))
+    h = tables.bucket(sig[node], first)
+    second = np.zeros(len(h), np.int64)
+    if len(hot):
+        split = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        many = np.flatnonzero(split)
+        inner = np.tile(np.arange(len(tables.second)), len(many))
+        deep = np.repeat(many, len(tables.second))
+        h = np.concatenate([h[~split], tables.within(h[deep], sig[node[deep]], inner)])
+        node, first = np.concatenate([node[~split], node[deep]]), np.concatenate([first[~split], first[deep]])
+        second = np.concatenate([second[~split], inner + 1])
+    out = np.empty(len(h), ENTRY)
+    out["sig"], out["conf"], out["first"], out["second"] = sig[node], conf[node], first, second
+    return out, h
+
+
+def _spread(tables: Tables, parts: int, hot: np.ndarray) -> Callable:
+    """Each node's entries in all tables, packed by the partition that searches their bucket."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = batch.column(0).to_numpy().view(np.uint64)
-            conf = batch.column(1).to_numpy()
-            for s in range(0, len(sig), 2048):
-                x = sig[s : s + 2048]
-                with np.errstate(over="ignore"):
-                    h = mix((x[:, None] & tables[None, :]) + salt[None, :])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64).ravel()), pa.array(np.repeat(x.view(np.int64), len(tables))), pa.array(np.repeat(conf[s : s + 2048], len(tables)))], ["h", "sig", "conf"]
-                )
+            sig, conf = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            for s in range(0, len(sig), 4_096):
+                entries, h = _entries(tables, sig[s : s + 4_096], conf[s : s + 4_096], hot)
+                part = (h % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part = part[order]
+                first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                offsets = np.append(first, len(part)).astype(np.int64) * ENTRY.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(entries[order])])
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), packed], ["part", "entries"])
 
     return spread
 
 
+def _buckets(tables: Tables) -> Callable:
+    """Only the buckets that nodes fall into, to be counted."""
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = batch.column(0).to_numpy().view(np.uint64)
+            n = len(tables.first)
+            for s in range(0, len(sig), 4_096):
+                h = tables.bucket(np.repeat(sig[s : s + 4_096], n), np.tile(np.arange(n), len(sig[s : s + 4_096])))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    return buckets
+
+
+def hot_buckets(nodes: DataFrame, n_nodes: int, tables: Tables) -> np.ndarray:
+    """The buckets, in order, that have over ``HOT`` nodes by the look of a sample: ``MOST_LISTED`` at most."""
+    sample = nodes.where(F.pmod(F.xxhash64("sig", "conf", F.lit(7)), F.lit(LOOKED_AT)) == 0)
+    least = max(2, HOT // LOOKED_AT, -(-n_nodes * len(tables.first) // (LOOKED_AT * MOST_LISTED)))
+    found = sample.mapInArrow(_buckets(tables), "h long").groupBy("h").count().where(F.col("count") >= least)
+    return np.sort(np.array([r.h for r in found.orderBy(F.col("count").desc(), "h").limit(MOST_LISTED).collect()], np.int64).view(np.uint64))
+
+
 def forest(sig: np.ndarray, conf: np.ndarray, radius: int, confirm: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as pairs of row numbers, of the near pairs among these rows."""
     left = np.arange(len(sig))
@@ -170,7 +249,7 @@ def forest(sig: np.ndarray, conf: np.ndarray, radius: int, confirm: int) -> tupl
     return np.concatenate(pairs_a), np.concatenate(pairs_b)
 
 
-def bucket_pairs(h: np.ndarray, sig: np.ndarray, conf: np.ndarray, radius: int, confirm: int, small: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(h: np.ndarray, sig: np.ndarray, conf: np.ndarray, radius: int, confirm: int, small: int = 12, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of near pairs within buckets, enough to connect all that are near."""
     order = np.argsort(h, kind="stable")
     hs = h[order]
@@ -191,19 +270,32 @@ def bucket_pairs(h: np.ndarray, sig: np.ndarray, conf: np.ndarray, radius: int,
         out_b.append(b[near])
     for k in np.flatnonzero(size > small):
         rows = order[first[k] : first[k] + size[k]]
-        a, b = forest(sig[rows], conf[rows], radius, confirm)
+        search = split_pairs if size[k] > HOT and depth else forest
+        a, b = search(sig[rows], conf[rows], radius, confirm, *([depth - 1] if search is split_pairs else []))
         out_a.append(rows[a])
         out_b.append(rows[b])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _pairs(radius: int, confirm: int) -> Callable:
+def split_pairs(sig: np.ndarray, conf: np.ndarray, radius: int, confirm: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forest``, for many rows: within the buckets of another family of masks, one table after the other."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for mask in masks(radius, family=2 + depth):
+        a, b = bucket_pairs(sig & mask, sig, conf, radius, confirm, depth=depth)
+        out_a.append(a)
+        out_b.append(b)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _pairs(tables: Tables, radius: int, confirm: int) -> Callable:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
+        parts = [np.frombuffer(packed.as_buffer(), ENTRY) for batch in batches for packed in batch.column(1)]
         if not parts:
             return
-        h, sig, conf = (np.concatenate([p[i] for p in parts]).view(np.uint64) for i in range(3))
+        entries = np.concatenate(parts)
         del parts
+        h, sig, conf = tables.of(entries), entries["sig"].copy(), entries["conf"].copy()
+        del entries
         a, b = bucket_pairs(h, sig, conf, radius, confirm)
         seen = np.unique(np.stack([sig[a], conf[a], sig[b], conf[b]], 1), axis=0) if len(a) else np.zeros((0, 4), np.uint64)
         del h, sig, conf
@@ -213,17 +305,18 @@ def _pairs(radius: int, confirm: int) -> Callable:
     return pairs
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, root`` of each node of ``edges(u, v)``: the smallest node it is connected with.
 
     Large-star and small-star steps in turn, each cut by a table in the shared folder, until nothing
     moves; the number of steps grows with the logarithm of the longest path.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = scratch.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = mark(edges)
     while last[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -231,7 +324,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = scratch.cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = mark(edges)
         if now == last:
             break
@@ -240,27 +333,48 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "root")
 
 
-def _decided(docs: DataFrame, radius: int, confirm: int) -> DataFrame:
-    spark = docs.sparkSession
-    signed = cut(sign(docs), "signatures")
-    nodes = cut(signed.where("sig is not null").select("sig", "conf").distinct(), "nodes")
-    tables = masks(radius)
-    parts = max(scan_parts(spark), -(-nodes.count() * len(tables) // ROWS_A_TASK))
-    rows = nodes.mapInArrow(_spread(tables), "h long, sig long, conf long").repartition(parts, "h")
-    pairs = rows.mapInArrow(_pairs(radius, confirm), "sa long, ca long, sb long, cb long")
-    roots = components(pairs.select(F.xxhash64("sa", "ca").alias("u"), F.xxhash64("sb", "cb").alias("v")))
-    named = signed.withColumn("node", F.when(F.col("sig").isNotNull(), F.xxhash64("sig", "conf")))
-    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    group = Window.partitionBy("root")
-    grouped = named.where("root is not null").select(
+def _rooted(nodes: DataFrame, radius: int, confirm: int, scratch: Scratch) -> DataFrame:
+    """``sig, conf, root`` of each of ``nodes(sig, conf)`` that is near another; ids are dense, so no two nodes share one."""
+    spark, tables = nodes.sparkSession, Tables(radius)
+    n = nodes.count()
+    parts = max(scan_parts(spark), -(-n * len(tables.first) // ROWS_A_TASK))
+    hot = hot_buckets(nodes, n, tables)
+    # as many tasks spread the nodes as search the tables
+    rows = nodes.select("sig", "conf").repartition(parts).mapInArrow(_spread(tables, parts, hot), "part int, entries binary").repartitionById(parts, F.col("part"))
+    pairs = scratch.cut(rows.mapInArrow(_pairs(tables, radius, confirm), "sa long, ca long, sb long, cb long"), "pairs")
+    ends = pairs.select(F.col("sa").alias("sig"), F.col("ca").alias("conf")).unionByName(pairs.select(F.col("sb").alias("sig"), F.col("cb").alias("conf"))).distinct()
+    ids = scratch.cut(ends.withColumn("id", F.monotonically_increasing_id()), "ids")
+    of = lambda s, c, name: ids.select(F.col("sig").alias(s), F.col("conf").alias(c), F.col("id").alias(name))
+    edges = pairs.join(of("sa", "ca", "u"), ["sa", "ca"]).join(of("sb", "cb", "v"), ["sb", "cb"]).select("u", "v")
+    # the smallest node of a group is no edge's upper end and has no row of its own
+    roots = components(edges, scratch)
+    roots = scratch.cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    return ids.join(roots.withColumnRenamed("node", "id"), "id").select("sig", "conf", "root")
+
+
+def _decided(docs: DataFrame, radius: int, confirm: int, scratch: Scratch) -> DataFrame:
+    """``doc_id, text_hash, group_id, group_size, keep`` of each row; a row in no group has a null ``text_hash``.
+
+    Rows are counted by node first, nodes by group then; only what a node's rows share is joined to them.
+    """
+    signed = scratch.cut(sign(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash", "row")).alias("first")
+    nodes = scratch.cut(signed.where("sig is not null").groupBy("sig", "conf").agg(F.count(F.lit(1)).alias("n"), first), "nodes")
+    rooted = nodes.join(_rooted(nodes, radius, confirm, scratch), ["sig", "conf"], "left")
+    together = rooted.where("root is not null").select("root", "sig", "conf", "n", "first")
+    group = together.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    groups = together.select("root", "sig", "conf").join(group, "root").drop("root").unionByName(rooted.where("root is null and n > 1").select("sig", "conf", "n", "first"))
+    groups = scratch.cut(groups, "groups")
+    scratch.drop("nodes", "pairs", "ids", "edges", "roots")
+    named = signed.join(groups, ["sig", "conf"], "left")
+    alone = F.col("n").isNull()
+    return named.select(
         "doc_id",
-        "text_hash",
-        F.min("doc_id").over(group).alias("group_id"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-        (F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")) == 1).alias("keep"),
+        F.when(~alone, F.col("text_hash")).alias("text_hash"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("group_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("first.row"))).alias("keep"),
     )
-    alone = named.where("root is null").select("doc_id", F.lit(None).cast("long").alias("text_hash"), F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
-    return grouped.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
@@ -268,18 +382,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
 
     A group is a connected set of rows whose first signatures differ in ``radius`` bits at most and
     whose second ones in ``confirm`` at most. ``group_id`` is its smallest ``doc_id``, whose row is the
-    one with ``keep``; among repeated rows of that id just one is kept. Texts without any word are
-    near only to the same text. A null text is a group of its own and kept; a null ``doc_id`` is never
-    the kept one unless the whole group has none. Other columns are ignored; an empty table gives none.
+    one with ``keep``; among repeated rows of that id just one is kept. Texts without any word (empty
+    ones too) are near only to the same text; very long ones are read whole. A null text is a group of
+    its own and kept; a null ``doc_id`` is never the kept one unless the whole group has none. Other
+    columns are ignored; an empty table gives none.
     """
-    return _decided(docs, radius, confirm).drop("text_hash")
+    return _decided(docs, radius, confirm, Scratch(docs.sparkSession)).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns."""
-    decided = _decided(docs, radius, confirm).where("text_hash is not null")
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns, whatever these are called.
+
+    Of a group the row of smallest ``doc_id`` stays; of rows repeated in id and text that whose columns,
+    as JSON, come first. Null texts stay; an empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession)
+    decided = _decided(docs, radius, confirm, scratch).where("text_hash is not null")
     gone = decided.groupBy("doc_id", "text_hash").agg(F.bool_or("keep").alias("keep"), F.count(F.lit(1)).alias("n")).where("not keep or n > 1")
-    gone = cut(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("keep").alias("_keep")), "dropped")
+    gone = scratch.cut(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("keep").alias("_keep")), "dropped")
+    scratch.drop("signatures", "groups")
     names, again = docs.columns, gone.where("_keep")
     # the rows as structs, so that the keys can't clash with columns of the input
     rows = docs.select(F.struct(*names).alias("row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_th"))
@@ -288,4 +409,5 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = C
     out = rows.join(gone.hint("shuffle_hash"), same, "left_anti").select("row.*")
     if again.isEmpty():
         return out
-    return out.unionByName(rows.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["_doc", "_th"]).select("row.*"))
+    repeated = rows.join(again.hint("shuffle_hash"), same, "left_semi").groupBy("_doc", "_th")
+    return out.unionByName(repeated.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
