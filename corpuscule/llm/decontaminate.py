@@ -6,7 +6,11 @@ adds up A'(A X) for a random X, and the driver makes the leading right singular
 (a randomised SVD with its power step; the counts of all documents are in it). A third pass projects
 all blocks, adds neighbouring ones up to windows of about a benchmark item's length, and compares
 window and item by cosine. Candidates are confirmed on the words themselves: the longest common
-subsequence, and for paraphrases the presence of the item's answer.
+subsequence, and for paraphrases the presence of the item's answer. Items of a few words, which say
+too little for a cosine, are looked for as they are: all their words in a row.
+
+The benchmark is the set of queries, compared with all windows in blocks; a window whose words can't
+make up the least weight of any item is left out before.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, renamed, slices, strings, tidied, word_hash, words, words_of
+from .common import Vocabulary, mix, renamed, slices, strings, tidied, word_hash, words, words_of
 
 #: Words in a block, and blocks in a passage of the counts and the matrix.
 BLOCK = 16
@@ -43,10 +47,10 @@ LEAST_RUN = 13
 ANSWER_WORDS = 6
 #: Share of the answer's words, in order, that must be found.
 ANSWER_FOUND = 0.7
-#: Items of fewer words can't be told from chance and never match.
+#: Items of fewer words are found where all their words stand in a row.
 LEAST_WORDS = 6
 #: Items held at once; further ones are searched in groups of as many.
-ITEMS_A_GROUP = 2_000
+ITEMS_A_GROUP = 20_000
 #: Pairs of windows and items compared at once.
 COMPARED = 8_000_000
 TERMS_A_ROW = 512
@@ -66,7 +70,24 @@ class Items:
         self.words = [np.array([word_hash(w) for w in ws], np.uint64) for ws in found]
         own = [words_of(a) if a else [] for *_, a in rows]
         self.answers = [np.array([word_hash(w) for w in (a or ws[-ANSWER_WORDS:])], np.uint64) for a, ws in zip(own, found, strict=True)]
+        self.own_answer = [bool(a) for a in own]
         self.vocabulary = Vocabulary(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        by: dict[int, dict[int, list[int]]] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < LEAST_WORDS:
+                by.setdefault(len(w), {}).setdefault(int(sequences(w, len(w))[0]), []).append(i)
+        #: Of the short items, by number of words: the hashes of their sequences in order, and the items of each.
+        self.short = {n: (np.array(sorted(found), np.uint64), [found[k] for k in sorted(found)]) for n, found in by.items()}
+
+
+def sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` words in a row."""
+    last = max(0, len(h) - n + 1)
+    out = mix(h[:last], n)
+    with np.errstate(over="ignore"):
+        for j in range(1, n):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + last])
+    return out
 
 
 def passages(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,18 +159,26 @@ def _ranger(shared) -> Callable:
             heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
             total[term[heads]] += np.add.reduceat(product[back] * weight[order][:, None], heads, axis=0)
         part = TaskContext.get().partitionId()
-        for a in range(0, size, TERMS_A_ROW):
-            yield pa.RecordBatch.from_arrays([pa.array([a // TERMS_A_ROW], pa.int64()), pa.array([part], pa.int64()), pa.array([total[a : a + TERMS_A_ROW].tobytes()])], ["k", "part", "sums"])
+        there = np.flatnonzero(total.any(1)).astype(np.int32)  # only terms that occur
+        for a in range(0, len(there), TERMS_A_ROW):
+            for k in np.unique(there[a : a + TERMS_A_ROW] // TERMS_A_ROW).tolist():
+                some = there[a : a + TERMS_A_ROW][there[a : a + TERMS_A_ROW] // TERMS_A_ROW == k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int64()), pa.array([part], pa.int64()), pa.array([some.tobytes()]), pa.array([total[some].tobytes()])], ["k", "part", "terms", "sums"]
+                )
 
     return add
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table["part"].to_pylist(), table["sums"].to_pylist(), strict=True))
-    total = np.zeros(len(rows[0][1]) // 8)
-    for _, sums in rows:  # in the order of the partitions, so that the sum is the same each time
-        total += np.frombuffer(sums)
-    return pa.table({"k": [table["k"][0].as_py()], "part": [rows[0][0] // FAN_IN], "sums": [total.tobytes()]})
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("part", "terms", "sums")), strict=True))
+    k = table["k"][0].as_py()
+    total = np.zeros((TERMS_A_ROW, len(rows[0][2]) // 2 // len(rows[0][1])))
+    for _, terms, sums in rows:  # in the order of the partitions, so that the sum is the same each time
+        terms = np.frombuffer(terms, np.int32) - k * TERMS_A_ROW
+        total[terms] += np.frombuffer(sums).reshape(len(terms), -1)
+    there = np.flatnonzero(total.any(1)).astype(np.int32)
+    return pa.table({"k": [k], "part": [rows[0][0] // FAN_IN], "terms": [(there + np.int32(k * TERMS_A_ROW)).tobytes()], "sums": [total[there].tobytes()]})
 
 
 class Space:
@@ -171,6 +200,9 @@ class Space:
             keys.append(i * len(idf) + term)
             values.append(idf[term] / idf[term].sum())
         self.keys, self.values = np.concatenate(keys), np.concatenate(values)  # each item's words, and their shares of its weight
+        #: The largest share of each word in any item.
+        self.share = np.zeros(len(idf))
+        np.maximum.at(self.share, self.keys % max(1, len(idf)), self.values)
         self.scales: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
         for i, w in enumerate(items.words):
@@ -193,10 +225,15 @@ class Space:
             run = np.zeros((blocks[-1] + 1, self.project.shape[1]), np.float64)
             run[block[starts] + 1] = np.add.reduceat(self.project[term], starts, axis=0)
             np.cumsum(run, axis=0, out=run)
+            most = np.zeros(blocks[-1] + 1)
+            most[block[starts] + 1] = np.add.reduceat(self.share[term], starts)
+            np.cumsum(most, out=most)
             doc = np.repeat(np.arange(len(first) - 1), np.diff(blocks))
             begin = np.arange(blocks[-1])
             for m, (who, vectors) in self.scales.items():
-                window = (run[np.minimum(begin + m, blocks[doc + 1])] - run[begin]).astype(np.float32)
+                past = np.minimum(begin + m, blocks[doc + 1])
+                able = np.flatnonzero(most[past] - most[begin] >= LEAST_WEIGHT - 1e-9)  # no item is met without
+                window = (run[past[able]] - run[able]).astype(np.float32)
                 norm = np.sqrt((window**2).sum(1))
                 full = np.flatnonzero(norm > 1e-6)
                 step = max(1, COMPARED // len(who))
@@ -205,7 +242,7 @@ class Space:
                     near = window[some] @ vectors.T
                     near /= norm[some, None]
                     i, j = np.nonzero(near >= LEAST_COSINE)
-                    at_block, item, cosine = some[i], who[j], near[i, j]
+                    at_block, item, cosine = able[some[i]], who[j], near[i, j]
                     known = self.shared_weight(np.searchsorted(block, at_block), np.searchsorted(block, np.minimum(at_block + m, blocks[doc[at_block] + 1])), item, term)
                     good = known >= LEAST_WEIGHT
                     at_block, item, cosine = at_block[good], item[good], cosine[good]
@@ -214,7 +251,6 @@ class Space:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
         return tuple(np.concatenate([o[c] for o in out]) for c in range(4))
 
-
     def shared_weight(self, begin: np.ndarray, end: np.ndarray, item: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Share of each item's weight that the words of its window have, repetitions counted."""
         n = end - begin
@@ -256,12 +292,33 @@ def confirm(items: Items, i: int, text: np.ndarray) -> tuple[float, bool, str |
     return share, found, "paraphrase" if found else "part" if shares_run(item, text, int(np.ceil(min(LEAST_RUN, PARAPHRASE * len(item))))) else None
 
 
+def short_found(items: Items, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Text, short item and whether its answer is there, where all its words stand in a row; an answer of its own must be near."""
+    for n, (known, who) in items.short.items():
+        run = sequences(h, n)
+        place = np.minimum(np.searchsorted(known, run), len(known) - 1)
+        at = np.flatnonzero(known[place] == run) if len(run) else np.zeros(0, np.int64)
+        doc = np.searchsorted(first, at, "right") - 1
+        inside = at + n <= first[doc + 1]
+        for p, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
+            for i in who[place[p]]:
+                answer = items.answers[i]
+                around = h[max(first[d], p - 2 * BLOCK - len(answer)) : min(first[d + 1], p + n + 2 * BLOCK + len(answer))]
+                found = len(answer) > 0 and lcs(answer, around) >= ANSWER_FOUND * len(answer)
+                if (h[p : p + n] == items.words[i]).all() and (found or not items.own_answer[i]):
+                    yield d, i, found
+
+
 def contaminated(space: Space, texts: pa.Array) -> Iterator[tuple[int, int, float, float, bool, str]]:
     """Text number, item number, cosine, share in order, answer found and kind, for each pair confirmed."""
     items = space.items
     h, first, blocks, at, term = passages(texts, items.vocabulary)
     doc, block, item, near = space.candidates(at, term, first, blocks)
     done: set[tuple[int, int]] = set()
+    for d, i, found in short_found(items, h, first):
+        if (d, i) not in done:
+            done.add((d, i))
+            yield d, i, 1.0, 1.0, found, "copy"
     for c in np.lexsort((block, -near, item, doc)).tolist():
         d, i = int(doc[c]), int(item[c])
         if (d, i) in done:
@@ -292,14 +349,14 @@ def build(docs: DataFrame, rows: list[tuple], rank: int = RANK) -> Space:
     idf = np.where(used, np.maximum(idf, 1e-3), 0.0)
     draw = np.random.default_rng(SEED).standard_normal((len(idf), rank + EXTRA)).astype(np.float32)
     shared = context.broadcast((items.vocabulary, idf, draw))
-    kind = "k long, part long, sums binary"
+    kind = "k long, part long, terms binary, sums binary"
     sums = texts.mapInArrow(_ranger(shared), kind)
     for _ in range(2):  # no task reads the shares of all partitions
         sums = sums.groupBy("k", F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(_summed, kind)
     sums = sums.groupBy("k").applyInArrow(_summed, kind)
-    parts = [np.frombuffer(r.sums) for r in sums.orderBy("k").collect()]  # rank + EXTRA numbers a benchmark word
-    total = np.concatenate([np.zeros(0), *parts])
-    total = total.reshape(-1, draw.shape[1]) if len(total) else np.zeros(draw.shape)
+    total = np.zeros(draw.shape)
+    for r in sums.toLocalIterator():  # rank + EXTRA numbers a benchmark word
+        total[np.frombuffer(r.terms, np.int32)] = np.frombuffer(r.sums).reshape(-1, draw.shape[1])
     return Space(items, idf, total, draw, rank)
 
 
@@ -318,9 +375,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -
     """``doc_id, item_id, cosine, lcs_ratio, answer_found, kind`` of each document that holds a benchmark item.
 
     ``kind`` is ``copy`` (``COPY`` of the item's words in order), ``paraphrase`` (``PARAPHRASE`` of them,
-    and the answer) or ``part`` (as many, and ``LEAST_RUN`` of them, or all of a shorter part, in one run). Items of under ``LEAST_WORDS`` words and null or empty texts match nothing; of a text
-    that holds an item many times one pair is given. Repeated rows, of either table, each count; null
-    ids stay null; other columns are ignored; an empty table gives no rows.
+    and the answer) or ``part`` (as many, and ``LEAST_RUN`` of them, or all of a shorter part, in one
+    run). An item of under ``LEAST_WORDS`` words is found as a ``copy`` of cosine 1 where all its words
+    stand in a row, near an answer if it has one of its own. Null, empty and wordless texts and items
+    match nothing; very long texts are read whole; of a text that holds an item many times one pair is
+    given. Repeated rows, of either table, each count; null ids stay null; other columns are ignored;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = renamed(docs, {"doc_id": "long", "text": "string"})
@@ -347,7 +407,11 @@ def _pair_finder(shared) -> Callable:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """The rows of ``docs`` in which ``find_contaminated`` finds no item, with their own columns."""
+    """The rows of ``docs`` in which ``find_contaminated`` finds no item, with their own columns, whatever these are called.
+
+    Null and empty texts stay, whatever their id; repeated rows each stay or go; very long texts are read
+    whole; without items every row stays; an empty table stays empty.
+    """
     out = docs
     for space in _spaces(docs, benchmark, rank):
         out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(space), docs.columns.index("text")), docs.schema)

@@ -96,3 +96,58 @@ def test_a_long_part_of_an_item_is_found_without_its_end(spark, written):
     assert {(r.doc_id, r.item_id) for r in got} == {(d, d) for d in range(6)}
     assert "part" in {r.kind for r in got if not r.answer_found}
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()) == list(range(6, 60))
+
+
+def test_short_items_are_found_as_they_are(spark, written):
+    """Items of one to five words, copied exactly, alone at a text's edges too; near misses aren't."""
+    items = [(1, "zyx"), (2, "alpha zyx"), (3, "Five odd words, in-a"), (4, "who wrote it"), (5, "alpha zyx"), (6, "!!!")]
+    answers = {4: "some body else"}
+    rows = [
+        (1, written(1, 50) + " zyx " + written(2, 50)), (2, "alpha zyx"), (3, written(3, 30) + " five ODD words in a"), (4, "five odd words in"), (5, "alpha beta zyx. zyx"),
+        (6, "who wrote it?"), (7, "Who wrote it? Some body else did."), (8, None), (9, ""), (10, "alpha"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, t, answers.get(i)) for i, t in items], "item_id long, text string, answer string")
+    got = decontaminate.find_contaminated(docs, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (2, 2), (2, 5), (3, 3), (5, 1), (7, 4)]
+    assert all(r.kind == "copy" and r.answer_found for r in got)
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()) == [4, 6, 8, 9, 10]
+
+
+def test_one_space_holds_twenty_thousand_items(spark, written):
+    items = [(i, written(100_000 + i, 18)) for i in range(20_000)]
+    rows = [(d, written(d, 60) + " " + items[d * 97][1] + " " + written(d + 500, 60)) for d in range(100)] + [(1_000 + d, written(2_000 + d, 120)) for d in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate._spaces(docs, benchmark, 16)) == 1
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, benchmark, 16).collect()}
+    assert got >= {(d, d * 97) for d in range(100)} and not {d for d, _ in got if d >= 1_000}
+
+
+def test_results_equal_brute_force(spark, written):
+    """All windows of all texts against all items, by plain subsequences and runs."""
+    items = [(i, written(60_000 + i, 16 + 5 * i)) for i in range(8)]
+    rng, rows = random.Random(6), []
+    for d in range(160):
+        words, item = written(61_000 + d, rng.randint(5, 220)).split(), items[d % 8][1].split()
+        if d % 2:
+            how = d // 2 % 5
+            part = item if how == 0 else [w if rng.random() < 0.75 else "other" for w in item] if how == 1 else item[: 3 * len(item) // 4] if how == 2 else item[::2] if how == 3 else item[: len(item) // 3]
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        rows.append((d, " ".join(words)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected, unsure = set(), set()
+    for d, text in rows:
+        for i, item in items:
+            a, b = item.split(), text.split()
+            best = max(lcs_table(a, b[s : s + 3 * len(a) + 32]) for s in range(0, len(b), len(a))) / len(a)
+            answer = max(lcs_table(a[-6:], b[s : s + 3 * len(a) + 32]) for s in range(0, len(b), len(a))) >= 0.7 * 6
+            n = -(-min(13 * 10, 6 * len(a)) // 10)
+            run = any(" " + " ".join(a[k : k + n]) + " " in f" {text} " for k in range(len(a) - n + 1))
+            if best >= 0.8 or best >= 0.6 and (answer or run):
+                expected.add((d, i))
+            if 0.55 <= best < 0.65 or 0.75 <= best < 0.85:  # the windows' bounds may cut a word off or add one
+                unsure.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, benchmark).collect()}
+    assert got - unsure == expected - unsure and len(expected) > 40
