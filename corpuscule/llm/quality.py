@@ -150,15 +150,18 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> list:
-    """``text, quality, toxic`` of labelled rows, those of lowest hash from each class first."""
-    known = renamed(labels, {"doc_id": "long", "quality": "int", "toxic": "int"}).dropna().dropDuplicates(["doc_id"])
+    """``doc_id, text, quality, toxic`` of labelled rows, those of lowest hash from each class first.
+
+    Of repeated ids the lowest label and the text first in order count.
+    """
+    known = renamed(labels, {"doc_id": "long", "quality": "int", "toxic": "int"}).dropna()
+    known = known.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("label")).select("doc_id", "label.*")
     by = Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = known.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most // 2)
     known = known.orderBy("nth", "quality", "toxic").limit(most)
     rows = renamed(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null and text is not null")
-    ids = known.collect()  # most rows at most
-    by_id = {r.doc_id: r for r in ids}
-    found = rows.where(F.col("doc_id").isin(list(by_id))).dropDuplicates(["doc_id"]).collect() if by_id else []
+    by_id = {r.doc_id: r for r in known.collect()}  # most rows at most
+    found = rows.where(F.col("doc_id").isin(list(by_id))).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if by_id else []
     return sorted(((r.doc_id, r.text, by_id[r.doc_id].quality, by_id[r.doc_id].toxic) for r in found))
 
 
@@ -192,16 +195,21 @@ def _scorer(shared) -> Callable:
 def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, quality_score, toxic_score, keep`` for each row of ``docs(doc_id, text, …)``.
 
-    A row is kept whose quality score is at least LEAST_QUALITY and whose toxic score at most MOST_TOXIC. Null and empty
-    texts get the models' biases, repeated rows each give a row, a null ``doc_id`` stays null, other
-    columns are ignored, an empty table gives no rows. Without labels every row is kept.
+    A row is kept whose quality score is at least LEAST_QUALITY and whose toxic score at most MOST_TOXIC.
+    Null and empty texts get the models' biases, very long ones are read whole, repeated rows each give a
+    row, a null ``doc_id`` stays null, other columns are ignored, an empty table gives no rows. Without
+    labels every row is kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
     return renamed(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_scorer(shared), SCORED)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``score_documents`` keeps, with their own columns."""
+    """The rows of ``docs`` that ``score_documents`` keeps, with their own columns, whatever these are called.
+
+    Null and empty texts stay or go by the models' biases; repeated rows all stay or go; very long texts
+    are read whole; without labels every row stays; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
     at = docs.columns.index("text")
 
