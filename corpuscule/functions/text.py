@@ -18,8 +18,11 @@ _BLANK = re.compile("[\t\r\f\v ]+")
 _GAP = re.compile("\n\n\n+")
 _BREAK = re.compile(r"\n\s*\n")
 
-#: What Python strips, as a Java character class.
+#: What Python strips, as a Java character class, and its members of one byte.
 _EDGE = "[\\s\\x1c-\\x1f]+"
+_EDGES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+#: White space beyond ASCII; a text without it needs no Unicode classes.
+_WIDE = "[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 @F.arrow_udf(StringType())
@@ -34,18 +37,24 @@ def compose(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(text, f"(?U)^{_EDGE}|{_EDGE}$", "")
+    return F.when(text.rlike(_WIDE), F.regexp_replace(text, f"(?U)^{_EDGE}|{_EDGE}$", "")).otherwise(F.btrim(text, F.lit(_EDGES)))
 
 
 def normalize(text: Column, keep_lines: bool = True) -> Column:
-    """Composed, without NULs, lines trimmed and their blanks collapsed, no more than one empty line running."""
+    """Composed, without NULs, lines trimmed and their blanks collapsed, no more than one empty line running.
+
+    Only texts with unusual white space take the way over Unicode classes; patterns match where there
+    is something to change, not at every word.
+    """
     t = F.replace(compose(text), F.lit("\x00"), F.lit(""))
-    t = F.regexp_replace(t, "\r\n?", "\n")
-    t = F.regexp_replace(t, "[\t\f\\x0B ]+", " ")
-    t = F.regexp_replace(t, "(?U)[\\s\\x1c-\\x1f&&[^\n]]+(?=\n|\\z)|(?<=\n|\\A)[\\s\\x1c-\\x1f&&[^\n]]+", "")
-    if not keep_lines:
-        t = F.replace(t, F.lit("\n"), F.lit(" "))
-    return stripped(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    t = F.regexp_replace(t, " *[\t\f\\x0B][\t\f\\x0B ]*| {2,}", " ")
+    lines = (lambda x: x) if keep_lines else (lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
+    gaps = lambda x: F.regexp_replace(lines(x), "\n{3,}", "\n\n")
+    usual = F.replace(F.replace(t, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    other = F.regexp_replace(t, "(?U)[\\s\\x1c-\\x1f&&[^\n]]+(?=\n|\\z)|(?<=\n|\\A)[\\s\\x1c-\\x1f&&[^\n]]+", "")
+    rare = text.rlike(f"{_WIDE}|[\\x1c-\\x1f]")
+    return F.when(rare, F.regexp_replace(gaps(other), f"(?U)^{_EDGE}|{_EDGE}$", "")).otherwise(F.btrim(gaps(usual), F.lit(" \n")))
 
 
 def paragraphs(text: Column) -> Column:
@@ -56,7 +65,8 @@ def paragraphs(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """How many runs of anything but white space there are."""
     t = stripped(text)
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, f"(?U){_EDGE}")))
+    parts = F.when(text.rlike(_WIDE), F.size(F.split(t, f"(?U){_EDGE}"))).otherwise(F.size(F.split(t, _EDGE)))
+    return F.when(t == "", 0).otherwise(parts)
 
 
 def token_estimate(text: Column) -> Column:

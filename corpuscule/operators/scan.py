@@ -85,6 +85,11 @@ def summary(found: DataFrame, key: str) -> DataFrame:
     )
 
 
+def blocking(severities: Iterable[str] = ()) -> Column:
+    """Whether a group of findings keeps what it is about from being used: one of these severities does. By default none does."""
+    return F.coalesce(F.bool_or(F.col("severity").isin(*severities)), F.lit(False)) if (severities := tuple(severities)) else F.lit(False)
+
+
 def redacted(text: Column, found: Column) -> Column:
     """``found`` (array of start, end, label) replaced by placeholders, the latest start first.
 
