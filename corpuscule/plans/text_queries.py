@@ -127,7 +127,25 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return _decoded(table(spark, sf, "pages"), "page_id", "html", "page.html", "html")
 
 
-@query()
+#: Items, headings and paragraphs of the pages: a paragraph that isn't closed before the next one goes on to the article's end.
+_HTML_BLOCKS = r"""
+WITH marked AS (
+  SELECT page_id, string_split(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'gs'), '<(li|h1|p)>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages
+), cut AS (
+  SELECT page_id, i - 2 AS block_index, split_part(parts[i], chr(2), 1) AS tag, substr(parts[i], strpos(parts[i], chr(2)) + 1) AS own,
+    regexp_replace(array_to_string(parts[i:], chr(1)), chr(1) || '[a-z0-9]+' || chr(2), '<x>', 'g') AS rest
+  FROM (SELECT page_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM marked)
+), inner_html AS (
+  SELECT page_id, block_index, tag, CASE WHEN contains(own, '</' || tag || '>') THEN split_part(own, '</' || tag || '>', 1)
+    ELSE split_part(substr(rest, strpos(rest, chr(2)) + 1), '</article>', 1) END AS x FROM cut
+), plain AS (
+  SELECT page_id, block_index, tag, replace(replace(replace(replace(regexp_replace(regexp_replace(x, '\s*(<[^>]*>\s*)+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM inner_html
+)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_index) - 1 AS block_index, CASE tag WHEN 'li' THEN 'list_item' WHEN 'h1' THEN 'heading' ELSE 'paragraph' END AS type,
+  CASE WHEN tag = 'h1' THEN 1 END::BIGINT AS level, NORMAL AS text FROM plain WHERE text <> ''"""
+
+
+@query(_HTML_BLOCKS.replace("NORMAL", sql_normalized("text")))
 def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     rows = _pages(spark, sf).select("page_id", F.inline("d.blocks"))
     return rows.select("page_id", F.col("index").cast("long").alias("block_index"), "type", F.col("level").cast("long").alias("level"), "text")
@@ -151,12 +169,65 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", F.array_join(F.flatten(F.transform("x", lambda x: x["l"])), " ").alias("links"))
 
 
-@query("SELECT user_id, count(*) AS objects, 1 + ((count(*) + 19) // 20)::BIGINT AS blocks FROM events GROUP BY user_id")
+@query("""WITH parts AS (
+    SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 20 AS g, event_id, '{' || chr(10) || '"event_id": ' || event_id || ',' || chr(10) || '"event_type": "' || event_type || '"' || chr(10) || '}' AS object FROM events)
+  SELECT user_id, g + 1 AS block_index, 'code' AS type, '[' || chr(10) || string_agg(object, ',' || chr(10) ORDER BY event_id) || chr(10) || ']' AS text FROM parts GROUP BY user_id, g
+  UNION ALL SELECT user_id, 0, 'metadata', 'JSON array with ' || count(*) || ' objects.' FROM parts GROUP BY user_id""")
 def json_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON decoder over each user's events as an array of objects."""
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value")))).alias("json"), F.count(F.lit(1)).alias("objects"))
-    rows = rows.select("user_id", "objects", decoders.decoded(F.encode("json", "UTF-8"), F.lit("events.json"), F.lit("json")).alias("d"))
-    return rows.select("user_id", "objects", F.size("d.blocks").cast("long").alias("blocks"))
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))).alias("json"))
+    rows = _decoded(rows, "user_id", "json", "events.json", "json").select("user_id", F.inline("d.blocks"))
+    return rows.select("user_id", F.col("index").cast("long").alias("block_index"), "type", "text")
+
+
+#: Names that documents might have, by their number.
+_SUFFIXES = (".txt", ".MD", ".html", ".csv", ".json", ".tar.gz", "", ".pdf", ".xyz", ".docx")
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("doc_id") % len(_SUFFIXES) + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/d"), (F.col("doc_id") % 3).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), suffix).alias("path"))
+
+
+_SQL_NAMED = f"SELECT doc_id, source || '/d' || doc_id % 3 || '/f' || doc_id || ['{"', '".join(_SUFFIXES)}'][doc_id % {len(_SUFFIXES)} + 1] AS path FROM documents"
+_SQL_EXT = "lower(regexp_extract(path, '(\\.[^./]+)$', 1))"
+
+
+@query(f"""SELECT doc_id, ext, CASE ext WHEN '.txt' THEN 'text/plain' WHEN '.md' THEN 'text/markdown' WHEN '.html' THEN 'text/html' WHEN '.csv' THEN 'text/csv' WHEN '.json' THEN 'application/json'
+    WHEN '.pdf' THEN 'application/pdf' WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN '.gz' THEN 'application/gzip' END AS media_type,
+  CASE ext WHEN '.txt' THEN 'text' WHEN '.md' THEN 'markdown' WHEN '.html' THEN 'html' WHEN '.csv' THEN 'csv' WHEN '.json' THEN 'json' WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' END AS decoder
+  FROM (SELECT doc_id, {_SQL_EXT} AS ext FROM ({_SQL_NAMED}))""")
+def source_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Extension, media type and decoder by a file's name."""
+    ext = files.extension(F.col("path"))
+    return _named(spark, sf).select("doc_id", ext.alias("ext"), files.media_type(ext).alias("media_type"), decoders.decoder_name(ext, files.media_type(ext)).alias("decoder"))
+
+
+@query(f"""SELECT doc_id, path FROM ({_SQL_NAMED}) WHERE (regexp_matches(path, '^(.*/)?[^/]*\\.(txt|html)$') OR regexp_matches(path, '^src1[^/]*/d[^/]/.*$')) AND NOT regexp_matches(path, '^(.*/)?d2/.*$')""")
+def glob_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Include and exclude globs over relative paths."""
+    path = F.col("path")
+    return _named(spark, sf).where(files.matches(path, ("**/*.txt", "**/*.html", "src1*/d?/**")) & ~files.matches(path, ("**/d2/**",)))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR regexp_matches(text, '^[\\x00-\\x7F]*$') THEN 'utf-8' ELSE 'latin-1' END AS encoding, {sql_normalized("text")} AS text FROM documents""")
+def encodings(spark: SparkSession, sf: str) -> DataFrame:
+    """The text decoder over bytes, every second file's in Latin-1."""
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    rows = table(spark, sf, "documents").select("doc_id", decoders.decoded(raw, F.lit("a.txt"), F.lit("text")).alias("d"))
+    return rows.select("doc_id", F.col("d.metadata")["encoding"].alias("encoding"), F.array_join(F.transform("d.blocks", lambda b: b["text"]), "\n\n").alias("text"))
+
+
+@query("""SELECT conv_id, turn, ['json_decode_failed', 'json_empty', 'empty_text', 'empty_markdown', 'empty_html', 'csv_empty'][n] AS code, CASE WHEN n = 1 THEN 'error' ELSE 'warning' END AS severity
+  FROM (SELECT conv_id, turn, unnest(CASE turn % 5 WHEN 0 THEN [1, 2] WHEN 1 THEN [3] WHEN 2 THEN [4] WHEN 3 THEN [5] ELSE [6] END) AS n FROM conversations)""")
+def decoder_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What the decoders report of files that hold nothing, or no JSON; a row each, none ends the job."""
+    kinds = ("json", "text", "markdown", "html", "csv")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"), F.when(kind == "json", F.col("text")).otherwise(F.lit(" \n")).alias("text"))
+    rows = rows.withColumn("text", F.when(F.col("kind") == "csv", F.lit("")).otherwise(F.col("text")))
+    rows = rows.select("conv_id", "turn", F.inline(decoders.decoded(F.encode("text", "UTF-8"), F.lit("a"), F.col("kind"))["errors"]))
+    return rows.select("conv_id", "turn", "code", "severity")
 
 
 @query("SELECT item_id, 'Item ' || item_id AS title FROM benchmark")

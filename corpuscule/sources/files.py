@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 from collections.abc import Sequence
 
@@ -13,10 +14,10 @@ from .decoders import BUILT_IN, Decoder, decoder_name
 
 DEFAULT_EXCLUDE = ("**/.git/**", "**/node_modules/**", "**/__pycache__/**", "**/.venv/**", "**/.DS_Store")
 
-MEDIA_TYPES = {
-    ".md": "text/markdown", ".markdown": "text/markdown", ".txt": "text/plain", ".text": "text/plain", ".log": "text/plain", ".srt": "text/plain", ".html": "text/html", ".htm": "text/html",
-    ".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".csv": "text/csv", ".json": "application/json", ".xml": "text/xml",
-    ".png": "image/png", ".jpg": "image/jpeg", ".gif": "image/gif", ".zip": "application/zip", ".py": "text/x-python", ".js": "text/javascript", ".css": "text/css",
+#: The standard table of extensions, whatever a machine's own says, and what it lacks.
+MEDIA_TYPES = mimetypes.MimeTypes((), True).types_map[True] | {
+    ".md": "text/markdown", ".markdown": "text/markdown", ".text": "text/plain", ".log": "text/plain", ".srt": "text/plain", ".csv": "text/csv", ".json": "application/json",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".gz": "application/gzip",
 }
 
 
@@ -87,7 +88,10 @@ def extension_histogram(files: DataFrame) -> DataFrame:
 
 
 def probe(files: DataFrame, decoders: tuple[Decoder, ...] = BUILT_IN) -> DataFrame:
-    """One row: how many files there are, how large, which are supported, and warnings."""
+    """One row: how many files there are, how large, which types, how many are supported, and warnings.
+
+    It doesn't grow with the files; ``supported_files`` has these one by one.
+    """
     known = F.col("ext").isin(*[e for d in decoders for e in d.extensions])
     histogram = extension_histogram(files).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "files")))).alias("file_types"))
     totals = files.agg(
@@ -95,13 +99,16 @@ def probe(files: DataFrame, decoders: tuple[Decoder, ...] = BUILT_IN) -> DataFra
         F.coalesce(F.sum("length"), F.lit(0)).alias("total_size_bytes"),
         F.count_if(known).alias("supported_count"),
         F.count_if(~known).alias("unsupported_count"),
-        F.array_sort(F.collect_list(F.when(known, F.col("rel_path")))).alias("supported_files"),
-        F.array_sort(F.collect_list(F.when(~known, F.col("rel_path")))).alias("unsupported_files"),
     )
     warned = F.when(F.col("unsupported_count") > 0, F.array(F.lit("unsupported_files_detected"))).otherwise(F.array().cast("array<string>"))
     return totals.crossJoin(histogram).withColumn("warnings", warned)
 
 
+def supported_files(files: DataFrame, decoders: tuple[Decoder, ...] = BUILT_IN) -> DataFrame:
+    """``rel_path, supported``, a row each."""
+    return files.select("rel_path", F.col("ext").isin(*[e for d in decoders for e in d.extensions]).alias("supported"))
+
+
 def explain_support(files: DataFrame, decoders: tuple[Decoder, ...] = BUILT_IN) -> DataFrame:
     """Per file, which decoder would read it."""
     name = decoder_name(F.col("ext"), F.col("media_type"), decoders)
