@@ -9,10 +9,14 @@ from ..functions import text as tx
 from . import scan
 
 
-def jsonl_rows(chunks: DataFrame, redact: bool = False) -> DataFrame:
-    """``id, text, metadata`` of each chunk; the chunk's own metadata come last and override."""
+def jsonl_rows(chunks: DataFrame, redact: bool = False, findings: DataFrame | None = None) -> DataFrame:
+    """``id, text, metadata`` of each chunk; the chunk's own metadata come last and override.
+
+    Redaction takes the chunks' ``findings`` where they are given, and scans the texts else.
+    """
     if redact:
-        chunks = scan.redact(chunks, "text")
+        known = None if findings is None else findings.where("chunk_id is not null").drop("id").withColumnRenamed("chunk_id", "id")
+        chunks = scan.redact(chunks, "text") if known is None else scan.redact_found(chunks, "id", "text", known)
     ref = F.col("source_refs")[0]
     named = [("document_id", F.col("document_id")), ("source_uri", ref["source_uri"]), ("title", F.col("title")), ("section_path", F.to_json("section_path"))]
     named += [(k, ref[k].cast("string")) for k in ("page_start", "page_end", "line_start", "line_end")] + [("redacted", F.lit(str(redact).lower()))]

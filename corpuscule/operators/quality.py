@@ -5,16 +5,24 @@ All are joins and partial aggregations; each report is one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import ids, text as tx
 
 
 def annotate_duplicates(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Adds how many chunks have the same text, the share that is in excess, and a warning."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.sha2(text, 256)))
-    return chunks.withColumn("duplicate_count", n).withColumns(
+    """Adds how many chunks have the same text, the share that is in excess, and a warning.
+
+    Counted are hashes, so that no text is shuffled for it and a boilerplate's are added up where they
+    stand; only texts that occur more than once are joined back.
+    """
+    h = F.xxhash64(F.coalesce(text, F.lit(""))), F.sha2(text, 256)
+    counts = chunks.select(h[0].alias("_x"), h[1].alias("_h")).groupBy("_x", "_h").agg(F.count(F.lit(1)).alias("duplicate_count")).where("duplicate_count > 1")
+    rows = chunks.withColumns({"_x": h[0], "_h": h[1]}).join(counts, ["_x", "_h"], "left").drop("_x", "_h")
+    n = F.coalesce("duplicate_count", F.lit(1).cast("long"))
+    return rows.withColumn("duplicate_count", n).withColumns(
         {
             "duplicate_score": (F.col("duplicate_count") - 1) / F.col("duplicate_count"),
             "duplicate_warning": F.when(F.col("duplicate_count") > 1, "duplicate_chunk_exact"),
@@ -31,11 +39,15 @@ def duplicate_ratios(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def duplicate_sources(files: DataFrame, content_hash: Column, path: Column) -> DataFrame:
-    """Files whose content stands at an earlier path already, and that path."""
-    first = Window.partitionBy("h").orderBy("path")
+    """Files whose content stands at an earlier path already, and that path.
+
+    A path that stands twice with the same content is a duplicate of itself once less often than it stands.
+    """
     rows = files.select(path.alias("path"), content_hash.alias("h"))
-    rows = rows.select("path", F.first("path").over(first).alias("first_path"), F.row_number().over(first).alias("nth"))
-    return rows.where("nth > 1").select("path", "first_path")
+    paths = rows.groupBy("h", "path").agg(F.count(F.lit(1)).alias("n"))
+    firsts = paths.groupBy("h").agg(F.min("path").alias("first_path"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
+    found = paths.join(firsts, "h").withColumn("n", F.col("n") - (F.col("path") == F.col("first_path")).cast("long"))
+    return found.where("n > 0").select(F.explode(F.array_repeat("path", F.col("n").cast("int"))).alias("path"), "first_path")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -93,22 +105,46 @@ def readiness(counts: DataFrame) -> DataFrame:
 
 
 def evaluation_counts(documents: DataFrame, chunks: DataFrame, findings: DataFrame, report: DataFrame) -> DataFrame:
-    """One row with all that the readiness score and the evaluation report need."""
+    """One row with all that the readiness score and the evaluation report need.
+
+    Each table is read once: chunks are counted by text first, which gives the duplicates, and the
+    groups' counts added up.
+    """
+    n = [F.count_if(F.col("type") == k).alias(x) for k, x in (("pii", "pii"), ("secret", "secrets"), ("prompt_injection", "injections"))]
+    return _evaluated(documents, chunks.withColumns({x: F.lit(0) for x in ("pii", "secrets", "injections")}), report).drop("pii", "secrets", "injections").crossJoin(findings.agg(*n))
+
+
+def scanned_counts(documents: DataFrame, chunks: DataFrame, found: Column, report: DataFrame) -> DataFrame:
+    """The same, of chunks that are scanned on the way; ``found`` are their matches."""
+    of = lambda kind: F.size(F.filter("_found", lambda m: m["type"] == kind))
+    rows = chunks.withColumn("_found", found).withColumns({"pii": of("pii"), "secrets": of("secret"), "injections": of("prompt_injection")}).drop("_found")
+    return _evaluated(documents, rows, report)
+
+
+def _evaluated(documents: DataFrame, chunks: DataFrame, report: DataFrame) -> DataFrame:
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
     filled = F.exists("blocks", lambda b: F.trim(F.coalesce(F.nullif(b["text"], F.lit("")), b["markdown"], F.lit(""))) != "")
     d = documents.agg(F.count(F.lit(1)).alias("document_count"), F.count_if(~F.coalesce(filled, F.lit(False))).alias("blank_documents"))
-    c = chunks.agg(
-        F.count(F.lit(1)).alias("chunk_count"),
-        F.count_if(blank).alias("empty_chunk_count"),
-        F.count_if(F.size("source_refs") < 1).alias("chunks_without_source_refs"),
-        F.coalesce(F.count_if(F.size("source_refs") < 1) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("uncited_ratio"),
-        F.coalesce(F.avg("char_count"), F.lit(0.0)).alias("avg_chars"),
-        F.coalesce(F.median("char_count"), F.lit(0.0)).alias("median_chars"),
+    groups = chunks.groupBy(F.sha2("text", 256).alias("h"), "char_count").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(blank).alias("blank"),
+        F.count_if(F.size("source_refs") < 1).alias("uncited"),
+        *[F.sum(x).cast("long").alias(x) for x in ("pii", "secrets", "injections")],
+    )
+    n, total = F.sum("n"), lambda x: F.coalesce(F.sum(x), F.lit(0).cast("long"))
+    ratio = lambda x: F.coalesce(x / F.nullif(n, F.lit(0)), F.lit(0.0))
+    c = groups.agg(
+        total("n").alias("chunk_count"),
+        total("blank").alias("empty_chunk_count"),
+        total("uncited").alias("chunks_without_source_refs"),
+        ratio(F.sum("uncited")).alias("uncited_ratio"),
+        ratio(F.sum(F.col("char_count") * F.col("n"))).alias("avg_chars"),
+        F.coalesce(F.expr("percentile(char_count, 0.5, n)"), F.lit(0.0)).alias("median_chars"),
         F.coalesce(F.max("char_count"), F.lit(0)).alias("max_chars"),
+        ratio(n - F.count_if(F.col("h").isNotNull())).alias("duplicate_ratio"),
+        *[total(x).alias(x) for x in ("pii", "secrets", "injections")],
     )
-    f = findings.agg(*[F.count_if(F.col("type") == k).alias(n) for k, n in (("pii", "pii"), ("secret", "secrets"), ("prompt_injection", "injections"))])
-    r = duplicate_ratios(chunks).select(F.col("dup_excess_ratio").alias("duplicate_ratio"))
-    out = d.crossJoin(c).crossJoin(f).crossJoin(r).crossJoin(report.select("discovered", "failed", "unsupported", "empty"))
+    out = d.crossJoin(c).crossJoin(report.select("discovered", "failed", "unsupported", "empty"))
     return out.withColumn("empty_documents", F.col("blank_documents") + F.col("empty")).drop("blank_documents", "empty")
 
 
@@ -176,20 +212,59 @@ def provenance(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return refs.join(documents.select("document_id", F.col("title").alias("document_title"), F.col("uri").alias("source_uri")), "document_id")
 
 
+def _within(cited: pa.Array, blocks: pa.Array) -> pa.Array:
+    out = []
+    for chunks, own in zip(cited.to_pylist(), blocks.to_pylist(), strict=True):
+        bare = lambda x: "".join((x or "").split())
+        texts = {b["block_id"]: (bare(b["text"] or b["markdown"]), bare(b["shown"])) for b in own or ()}
+        pools: dict[tuple, list] = {}
+        found = []
+        for c in sorted(chunks, key=lambda c: c["id"]):
+            names = tuple(c["block_ids"] or ())
+            if names not in pools:
+                both = ["".join(texts[n][side] for n in names if n in texts) for side in (0, 1)]
+                pools[names] = [[both[0], 0], [both[1], 0]]
+            text, there = bare(c["text"]), False
+            for pool in pools[names]:
+                # a document's chunks follow each other: the search goes on where the last one was found
+                at = pool[0].find(text, pool[1])
+                at = pool[0].find(text) if at < 0 and pool[1] else at
+                if at >= 0:
+                    pool[1], there = at, True
+                    break
+            found.append({"id": c["id"], "faithful": there})
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("id", pa.string()), ("faithful", pa.bool_())])))
+
+
 def faithfulness(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per chunk, whether its text stands, white space aside, in the blocks it cites.
+    """Per chunk, whether its text stands, white space aside, in the blocks of one document that it cites.
 
     ``chunks(id, document_id, text, source_refs)``, ``blocks(document_id, block_id, type, text, markdown)``; of a
     block either its text counts or what a chunk shows of it, which is the Markdown of code and tables.
+    A document's blocks and chunks meet in one row, each shuffled once however many chunks cite a block.
     """
-    bare = lambda x: F.regexp_replace(x, "(?U)[\\s\\x1c-\\x1f]+", "")
-    cited = chunks.select("id", F.col("text").alias("_chunk"), F.explode("source_refs").alias("r")).select("id", "_chunk", F.col("r.document_id").alias("document_id"), F.posexplode("r.block_ids").alias("_n", "block_id"))
     text = F.coalesce(F.nullif("text", F.lit("")), "markdown", F.lit(""))
     shown = F.when(F.col("type").isin("code", "table"), F.coalesce(F.nullif("markdown", F.lit("")), text)).otherwise(text)
-    texts = blocks.select("document_id", "block_id", text.alias("_text"), shown.alias("_markdown"))
-    joined = cited.join(texts, ["document_id", "block_id"], "left").groupBy("id").agg(F.any_value("_chunk").alias("_chunk"), F.array_sort(F.collect_list(F.struct("_n", "_text", "_markdown"))).alias("_b"))
-    within = lambda field: F.contains(bare(F.array_join(F.transform("_b", lambda b: b[field]), "")), bare(F.col("_chunk")))
-    return joined.select("id", F.coalesce(within("_text") | within("_markdown"), F.lit(False)).alias("faithful"))
+    return faithful_rows(chunks, blocks.groupBy("document_id").agg(F.collect_list(F.struct("block_id", "text", "markdown", shown.alias("shown"))).alias("_b")))
+
+
+def faithful_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The same of ``documents(document_id, _b)``, a row each with an array of ``block_id, text, markdown, shown``."""
+    refs = chunks.select("id", "text", F.explode("source_refs").alias("r")).select("id", "text", F.col("r.document_id").alias("document_id"), F.col("r.block_ids").alias("block_ids"))
+    refs = refs.groupBy("document_id", "id").agg(F.any_value("text").alias("text"), F.flatten(F.collect_list("block_ids")).alias("block_ids"))
+    cited = refs.groupBy("document_id").agg(F.collect_list(F.struct("id", "text", "block_ids")).alias("_c"))
+    joined = cited.join(documents.select("document_id", "_b"), "document_id", "left")
+    within = F.arrow_udf(_within, "array<struct<id:string,faithful:boolean>>")
+    return joined.select(F.inline(within("_c", "_b"))).groupBy("id").agg(F.bool_or("faithful").alias("faithful"))
+
+
+def cited_blocks(documents: DataFrame) -> DataFrame:
+    """``document_id, _b`` for ``faithful_rows``, of documents that have their blocks in an array."""
+    text = lambda b: F.coalesce(F.nullif(b["text"], F.lit("")), b["markdown"], F.lit(""))
+    shown = lambda b: F.when(b["type"].isin("code", "table"), F.coalesce(F.nullif(b["markdown"], F.lit("")), text(b))).otherwise(text(b))
+    named = lambda b: F.struct(ids.block_id(F.col("document_id"), b["index"]).alias("block_id"), b["text"].alias("text"), b["markdown"].alias("markdown"), shown(b).alias("shown"))
+    return documents.select("document_id", F.transform("blocks", named).alias("_b"))
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..build import blocks_of
 from ..functions import ids
 from ..operators import chunk, export, quality, scan, search
 from ..sources import decoders
-from .tables import SQL_DOCS, chunks, corpus, sql_chunk_id, table, texts, with_chunks, with_docs
-from .text_queries import _EMAIL, _markdown
+from . import sql_scan
+from .tables import SQL_DOCS, SQL_SLUG, chunks, corpus, sql_chunk_id, table, texts, with_chunks, with_docs
+from .text_queries import SQL_MARKDOWN, _markdown
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -52,14 +52,57 @@ def _heading(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "document_id", "uri", F.inline(F.array(decoders.decoded(F.col("content"), F.col("uri"), F.lit("markdown")))))
 
 
-@query()
+#: Sections of the Markdown files: a turn each, the first with the file's heading, and their place.
+_SECTIONS = f"""WITH {SQL_MARKDOWN}, named AS (
+    SELECT conv_id, 'doc_' || substr(sha256(sha256(markdown) || ':chat_' || conv_id || '_md'), 1, 16) AS document_id FROM markdown
+  ), sections AS (
+    SELECT conv_id, k, n, role, CASE WHEN k = 1 THEN 'Conversation' || chr(10) || chr(10) ELSE '' END || role || chr(10) || chr(10) || CASE WHEN text = '' THEN '' ELSE text || chr(10) || chr(10) END
+      || 'turn *' || turn || '*' || chr(10) || chr(10) || 'of ' || role || chr(10) || chr(10) || code AS text,
+      4 + length(raw) - length(replace(raw, chr(10), '')) + 4 - CASE WHEN k = n THEN 1 ELSE 0 END + 0 AS height, text = '' AS bare FROM codes
+  ), placed AS (
+    SELECT *, 2 + sum(height) OVER (PARTITION BY conv_id ORDER BY k) AS line_end, CASE WHEN k = 1 THEN 1 ELSE 3 + sum(height) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS line_start
+    FROM sections JOIN named USING (conv_id)
+  )"""
+
+
+@query(_SECTIONS + """ SELECT 'chk_' || substr(document_id, 5) || '_heading_' || lpad((k - 1)::VARCHAR, 6, '0') AS id, document_id, text, role AS title, 'Conversation / ' || role AS section,
+  CASE WHEN length(text) < 100 THEN 0.8 ELSE 1.0 END::DOUBLE AS score, concat_ws(',', CASE WHEN length(text) < 100 THEN 'short_chunk' END, CASE WHEN length(text) > 2700 THEN 'large_chunk' END) AS labels, length(text) AS char_count FROM placed""")
 def heading_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections of conversations written as Markdown; their model is in the tests."""
+    """Sections of conversations written as Markdown."""
     rows = chunk.chunked(_heading(spark, sf))
     return rows.select("id", "document_id", "text", "title", F.array_join("section_path", " / ").alias("section"), "score", F.array_join("labels", ",").alias("labels"), "char_count")
 
 
-@query("SELECT conv_id, 1 + count(*) FILTER (WHERE turn_text <> '') AS headings, count(*) FILTER (WHERE turn_text <> '') AS paragraphs FROM (SELECT conv_id, trim(text, ' ' || chr(10)) AS turn_text FROM conversations) GROUP BY conv_id")
+@query(_SECTIONS + """ SELECT document_id, k - 1 AS chunk_index, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end,
+  round((4 + CASE WHEN k = 1 THEN 1 ELSE 0 END - CASE WHEN bare THEN 1 ELSE 0 END + CASE WHEN k = n THEN 0.8 ELSE 1.0 END) / (5 + CASE WHEN k = 1 THEN 1 ELSE 0 END - CASE WHEN bare THEN 1 ELSE 0 END), 6)::DOUBLE AS confidence FROM placed""")
+def chunk_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines that a section's blocks span, and how sure they are on average."""
+    ref = F.col("source_refs")[0]
+    rows = chunk.chunked(_heading(spark, sf))
+    long = lambda x: x.cast("long")
+    return rows.select("document_id", long(F.col("chunk_index")).alias("chunk_index"), long(ref["line_start"]).alias("line_start"), long(ref["line_end"]).alias("line_end"), F.round("extraction_confidence", 6).alias("confidence"))
+
+
+#: Turns with an empty line between, cut at such a line in the latter half of 400 characters, else at a space, with 40 shared.
+_CUT = """CASE WHEN size - P <= 400 THEN size ELSE
+    CASE WHEN strpos(reverse(substr(text, P + 1, 400)), chr(10) || chr(10)) BETWEEN 1 AND 197 THEN P + 399 - strpos(reverse(substr(text, P + 1, 400)), chr(10) || chr(10))
+      WHEN strpos(reverse(substr(text, P + 1, 400)), ' ') BETWEEN 1 AND 399 THEN P + 400 - strpos(reverse(substr(text, P + 1, 400)), ' ') ELSE P + 400 END END::BIGINT"""
+
+
+@query(f"""WITH RECURSIVE joined AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+  walk AS (SELECT conv_id, text, 0::BIGINT AS n, 0::BIGINT AS pos, size, {_CUT.replace('P', '0')} AS cut FROM (SELECT conv_id, text, length(text)::BIGINT AS size FROM joined)
+    UNION ALL SELECT conv_id, text, n + 1, pos2, size, {_CUT.replace('P', 'pos2')} FROM (SELECT *, CASE WHEN cut - 40 > pos THEN cut - 40 ELSE cut END AS pos2 FROM walk WHERE cut < size))
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) - 1 AS part_index, part FROM (
+    SELECT conv_id, n, CASE WHEN n = 0 AND size <= 400 THEN text ELSE trim(substr(text, pos + 1, cut - pos), ' ' || chr(10)) END AS part FROM walk) WHERE part <> ''""")
+def split_blank_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole conversations in small parts."""
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    whole = F.array_join(F.transform("t", lambda t: t["text"]), "\n\n")
+    rows = rows.select("conv_id", F.posexplode(chunk.split_large_text(whole, 400, 40)).alias("part_index", "part"))
+    return rows.select("conv_id", F.col("part_index").cast("long").alias("part_index"), "part")
+
+
+@query("SELECT conv_id, 1 + count(*) AS headings, count(*) FILTER (WHERE turn_text <> '') AS paragraphs FROM (SELECT conv_id, trim(text, ' ' || chr(10)) AS turn_text FROM conversations) GROUP BY conv_id")
 def markdown_block_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = _heading(spark, sf)
     of = lambda kind: F.size(F.filter("blocks", lambda b: b["type"] == kind)).cast("long")
@@ -90,32 +133,55 @@ def dup_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return quality.duplicate_ratios(chunks(spark, sf))
 
 
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    """A build's counts, from tables that have such numbers: labels of bad and toxic rows, pages, and short texts."""
+    docs, labels, pages = (table(spark, sf, x) for x in ("documents", "labels", "pages"))
+    failed = labels.agg(F.count_if(F.col("quality") == 0).alias("failed"), F.count_if(F.col("toxic") == 1).alias("unsupported"))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") < 40).alias("empty")).crossJoin(failed).crossJoin(pages.agg(F.count(F.lit(1)).alias("m"))).select(
+        (F.col("n") + F.col("m")).alias("discovered"), "failed", "unsupported", "empty"
+    )
+
+
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    made = chunks(spark, sf)
-    docs = corpus(spark, sf)
-    found = scan.findings(made, "document_id", "text", "id").where("label = 'pii:email'")
-    report = docs.agg(F.count(F.lit(1)).alias("discovered"), F.lit(0).alias("failed"), F.lit(0).alias("unsupported"), F.lit(0).alias("empty"))
-    return quality.evaluation_counts(docs, made, found, report)
+    recall = quality.reference_recall(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+    made = quality.scanned_counts(corpus(spark, sf), chunks(spark, sf), scan.spans(F.col("text")), _report(spark, sf))
+    return made.crossJoin(recall.select("recall"))
 
 
-_SCORE = f"""SELECT *, greatest(0, least(100, round_even(100 - 10 * duplicate_ratio - CASE WHEN pii > 0 THEN 10 ELSE 0 END
-    - CASE WHEN avg_chars <> 0 AND avg_chars NOT BETWEEN 300 AND 5000 THEN 10 ELSE 0 END, 0)))::BIGINT AS readiness_score FROM (
-  SELECT (SELECT count(*) FROM docs) AS document_count, count(*) AS chunk_count, avg(length(text)) AS avg_chars, sum(len(regexp_extract_all(text, '{_EMAIL}')))::BIGINT AS pii,
-    (count(*) - count(DISTINCT text))::DOUBLE / count(*) AS duplicate_ratio FROM chunks)"""
+#: What the score is made of, and each loss.
+_LOSSES = f"""{sql_scan.findings(f"SELECT {sql_chunk_id()} AS k, text AS t FROM chunks")},
+  counts AS (SELECT (SELECT count(*) FROM docs) AS document_count, count(*) AS chunk_count, avg(length(text)) AS avg_chars, median(length(text))::DOUBLE AS median_chars, (count(*) - count(DISTINCT text))::DOUBLE / count(*) AS duplicate_ratio,
+    (SELECT count(*) FROM found WHERE type = 'pii') AS pii, (SELECT count(*) FROM found WHERE type = 'secret') AS secrets, (SELECT count(*) FROM docs) + (SELECT count(*) FROM pages) AS discovered,
+    (SELECT count(*) FROM labels WHERE quality = 0) AS failed, (SELECT count(*) FROM labels WHERE toxic = 1) AS unsupported,
+    (SELECT count(*) FROM documents WHERE length(text) < 40) + (SELECT count(*) FROM docs WHERE text = '') AS empty_documents,
+    (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents))::DOUBLE / (SELECT count(DISTINCT doc_id) FROM documents) AS recall FROM chunks),
+  losses AS (SELECT *, failed / discovered::DOUBLE AS f, empty_documents / (document_count + empty_documents)::DOUBLE AS e, unsupported / discovered::DOUBLE AS u FROM counts)"""
 
 
-@query(with_chunks(_SCORE))
+@query(with_chunks(f""", {_LOSSES} SELECT document_count, chunk_count, avg_chars, median_chars, pii, secrets, duplicate_ratio, failed, empty_documents, greatest(0, least(100, round_even(
+    100 - 20 * f - 15 * e - 10 * duplicate_ratio - 30 * (1 - recall) - CASE WHEN pii > 0 THEN 10 ELSE 0 END - CASE WHEN secrets > 0 THEN 10 ELSE 0 END - CASE WHEN u > 0.2 THEN 10 ELSE 0 END
+    - CASE WHEN avg_chars <> 0 AND avg_chars NOT BETWEEN 300 AND 5000 THEN 10 ELSE 0 END, 0)))::BIGINT AS readiness_score FROM losses"""))
 def rag_readiness(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.readiness(_counts(spark, sf)).select("document_count", "chunk_count", "avg_chars", "pii", "duplicate_ratio", "readiness_score")
+    return quality.readiness(_counts(spark, sf)).select("document_count", "chunk_count", "avg_chars", "median_chars", "pii", "secrets", "duplicate_ratio", "failed", "empty_documents", "readiness_score")
 
 
-@query(with_chunks(f"""SELECT concat_ws('; ', CASE WHEN d > 0 THEN printf('-%.1f: duplicate chunks %.1f%%', 10 * d, 100 * d) END, CASE WHEN pii > 0 THEN '-10.0: personal data to review' END,
-    CASE WHEN a NOT BETWEEN 300 AND 5000 THEN '-10.0: mean chunk length outside 300 to 5000' END) AS explanation
-  FROM (SELECT avg(length(text)) AS a, sum(len(regexp_extract_all(text, '{_EMAIL}'))) AS pii, (count(*) - count(DISTINCT text))::DOUBLE / count(*) AS d FROM chunks)"""))
+@query(with_chunks(f""", {_LOSSES} SELECT concat_ws('; ', CASE WHEN f > 0 THEN printf('-%.1f: files that failed %.1f%%', 20 * f, 100 * f) END, CASE WHEN e > 0 THEN printf('-%.1f: empty documents %.1f%%', 15 * e, 100 * e) END,
+    CASE WHEN duplicate_ratio > 0 THEN printf('-%.1f: duplicate chunks %.1f%%', 10 * duplicate_ratio, 100 * duplicate_ratio) END,
+    CASE WHEN recall < 1 THEN printf('-%.1f: documents missing against the reference %.1f%%', 30 * (1 - recall), 100 * (1 - recall)) END, CASE WHEN pii > 0 THEN '-10.0: personal data to review' END,
+    CASE WHEN secrets > 0 THEN '-10.0: secrets to review' END, CASE WHEN u > 0.2 THEN '-10.0: many unsupported files' END,
+    CASE WHEN avg_chars NOT BETWEEN 300 AND 5000 THEN '-10.0: mean chunk length outside 300 to 5000' END) AS explanation FROM losses"""))
 def rag_explanation(spark: SparkSession, sf: str) -> DataFrame:
     return quality.readiness(_counts(spark, sf)).select(F.array_join("score_explanation", "; ").alias("explanation"))
 
 
+@query(with_chunks(f""", {sql_scan.findings(f"SELECT {sql_chunk_id()} AS k, text AS t FROM chunks")}
+  SELECT 'fnd_' || substr(sha256(k || ':' || {SQL_SLUG.format('label')} || ':' || i), 1, 16) AS id, k AS chunk_id, label, s AS start, e AS "end" FROM found"""))
+def chunk_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings within chunks."""
+    rows = scan.findings(chunks(spark, sf), "document_id", "text", "id")
+    return rows.select("id", "chunk_id", "label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
 @query("SELECT count(*) AS reference_count, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing_count, count(l.doc_id)::DOUBLE / count(*) AS recall FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def reference_recall(spark: SparkSession, sf: str) -> DataFrame:
     return quality.reference_recall(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
@@ -150,7 +216,7 @@ def orphan_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_chunks(f"SELECT {sql_chunk_id()} AS id, contains(regexp_replace(document_text, '\\s+', '', 'g'), regexp_replace(text, '\\s+', '', 'g')) AS faithful FROM chunks"))
 def faithfulness(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.faithfulness(chunks(spark, sf), blocks_of(corpus(spark, sf)))
+    return quality.faithful_rows(chunks(spark, sf), quality.cited_blocks(corpus(spark, sf)))
 
 
 _TERMS = "The of thshing Licensed"
@@ -193,9 +259,14 @@ def export_jsonl_rows(spark: SparkSession, sf: str) -> DataFrame:
     return export.jsonl_rows(chunks(spark, sf)).select("id", "text", *[m[k].alias(k) for k in ("document_id", "source_uri", "title", "redacted", "chunker")])
 
 
-@query()
+@query(with_chunks(f""", {sql_scan.findings(f"SELECT {sql_chunk_id()} AS k, text AS t FROM chunks")}, {sql_scan.redacted()}
+  SELECT clean.k AS id, clean.t AS text, document_id, uri AS source_uri, 'true' AS redacted FROM clean JOIN (SELECT {sql_chunk_id()} AS k, document_id, uri FROM chunks) USING (k)"""))
 def export_jsonl_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return export.jsonl_rows(chunks(spark, sf), redact=True).select("id", "text", F.to_json("metadata").alias("metadata"))
+    """Chunks without what was found in them; the findings are joined, not looked for again."""
+    made = chunks(spark, sf)
+    m = F.col("metadata")
+    rows = export.jsonl_rows(made, redact=True, findings=scan.findings(made, "document_id", "text", "id"))
+    return rows.select("id", "text", *[m[k].alias(k) for k in ("document_id", "source_uri", "redacted")])
 
 
 @query(with_docs(f"SELECT text AS page_content, uri AS source, 'Document ' || doc_id AS title, document_id, '{PACK}' AS pack_id, lang FROM docs"))
@@ -217,7 +288,9 @@ def export_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return export.markdown_rows(corpus(spark, sf))
 
 
-@query()
+@query(with_docs(f""", {sql_scan.findings("SELECT document_id AS k, text AS t FROM docs")}, {sql_scan.redacted()}
+  SELECT document_id, rtrim('---' || chr(10) || 'document_id: ' || document_id || chr(10) || 'source_uri: "' || uri || '"' || chr(10) || 'title: "Document ' || doc_id || '"' || chr(10)
+  || 'redacted: true' || chr(10) || '---' || chr(10) || chr(10) || t, chr(10)) || chr(10) AS markdown FROM docs JOIN clean ON k = document_id"""))
 def export_markdown_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return export.markdown_rows(corpus(spark, sf), redact=True)
 
