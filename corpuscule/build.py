@@ -29,6 +29,12 @@ class Corpus:
     findings: DataFrame
     warnings: DataFrame
     report: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Frees what the build keeps in memory or on disk; what is read from it later is computed anew."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def blocks_of(documents: DataFrame) -> DataFrame:
@@ -48,7 +54,8 @@ def decode_files(found: DataFrame, config: Config, registry: Registry | None = N
         "document_id", F.col("rel_path").alias("uri"), "sha256", F.col("length").alias("size_bytes"), "media_type", "modified_at", stamp.alias("extracted_at"), "decoder",
         F.col("d.title").alias("title"), F.col("d.blocks").alias("blocks"), F.col("d.errors").alias("errors"),
         F.map_concat(
-            F.create_map(F.lit("filename"), "filename", F.lit("extension"), "ext", F.lit("relative_path"), "rel_path"), F.coalesce("d.metadata", F.create_map().cast("map<string,string>"))
+            F.create_map(F.lit("filename"), "filename", F.lit("extension"), "ext", F.lit("relative_path"), "rel_path"), F.coalesce("d.metadata", F.create_map().cast("map<string,string>")),
+            F.create_map(*[F.lit(x) for pair in sorted(registry.metadata.items()) for x in pair]).cast("map<string,string>"),
         ).alias("metadata"),
         F.lit(VERSION).alias("schema_version"), F.lit(ids.json_hash(config.as_dict())).alias("config_hash"),
     )
@@ -103,7 +110,7 @@ def build(spark: SparkSession, root: str, config: Config | None = None, registry
     )
     stamp = config.as_of or datetime.now(tz=UTC).isoformat()
     report = counts.crossJoin(quality.chunk_stats(chunks)).crossJoin(quality.duplicate_ratios(chunks)).withColumn("created_at", F.lit(stamp))
-    return Corpus(config, root, read, documents, annotated, findings, warnings, report)
+    return Corpus(config, root, read, documents, annotated, findings, warnings, report, (read, chunks, findings))
 
 
 def evaluate(corpus: Corpus, reference: DataFrame | None = None, metrics: dict | None = None) -> DataFrame:

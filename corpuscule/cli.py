@@ -45,20 +45,35 @@ def probe(a) -> int:
 def build(a) -> int:
     made = b.build(_session(), a.path, _config(a), plugins.installed())
     key = Path(a.private_key).read_bytes() if a.private_key else None
-    _show({"pack_id": pack.write(made, a.output, a.force, key)["pack_id"], **_row(made.report)})
+    try:
+        name = pack.write(made, a.output, a.force, key)["pack_id"]
+        if a.tables:
+            pack.write_tables(made, a.tables, a.force)
+        if a.report:
+            report.write_build_report(a.report, made.report, made.warnings, made.findings)
+        _show({"pack_id": name, **_row(made.report)})
+    finally:
+        made.release()
     return 0
 
 
 def inspect(a) -> int:
-    opened = pack.Pack(a.pack)
-    found = opened.rows("security_findings.jsonl")
-    _show({"manifest": opened.manifest(), "finding_count": len(found), "labels": sorted({f["label"] for f in found})})
+    opened, labels, findings = pack.Pack(a.pack), set(), 0
+    for row in opened.lines("security_findings.jsonl"):
+        findings, labels = findings + 1, labels | {row["label"]}
+    manifest, made = opened.manifest(), opened.build_report()
+    summary = manifest["source_summary"]
+    _show({
+        "path": a.pack, "manifest": manifest, "documents": summary["document_count"], "chunks": summary["chunk_count"], "avg_chunk_chars": made.get("avg_chars"), "max_chunk_chars": made.get("max_chars"),
+        "finding_count": findings, "labels": sorted(labels), "build_warnings": len(made.get("warnings", [])), "has_eval": manifest["features"]["has_eval"], "signed": pack.SIGNATURE in opened.names,
+    })
     return 0
 
 
 def validate(a) -> int:
     opened = pack.Pack(a.pack)
-    errors, warnings = opened.validate(), [w["code"] for w in opened.build_report().get("warnings", [])] if not opened.validate() else []
+    errors = opened.validate(checksums=not a.skip_checksums)
+    warnings = [w["code"] for w in opened.build_report().get("warnings", [])] if not errors else []
     _show({"valid": not errors, "errors": errors, "warnings": warnings})
     return int(bool(errors) or a.strict and bool(warnings))
 
@@ -119,8 +134,7 @@ def export_rows(a) -> int:
 
 
 def schemas(a) -> int:
-    spark, opened = _session(), pack.Pack(a.pack)
-    _show(report.schemas(documents=opened.table(spark, "documents.jsonl"), chunks=opened.table(spark, "chunks.jsonl")))
+    _show(report.schemas(a.model))
     return 0
 
 
@@ -129,12 +143,12 @@ def serve(a) -> int:
 
 
 def sign(a) -> int:
+    opened = pack.Pack(a.pack)
     if a.new_key:
         private, public = signing.key_pair(_session())
         Path(a.key).write_bytes(private)
         Path(a.key + ".pub").write_bytes(public)
-        return 0
-    _show({"signature": signing.sign(_session(), pack.Pack(a.pack).read("manifest.json"), Path(a.key).read_bytes())})
+    _show({"signature": opened.sign(_session(), Path(a.key).read_bytes())})
     return 0
 
 
@@ -170,9 +184,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--max-chars", type=int)
     c.add_argument("--overlap-chars", type=int)
     c.add_argument("--private-key")
+    c.add_argument("--report")
+    c.add_argument("--tables")
     c.add_argument("--force", action="store_true")
     command("inspect", inspect, "pack")
-    command("validate", validate, "pack").add_argument("--strict", action="store_true")
+    c = command("validate", validate, "pack")
+    c.add_argument("--strict", action="store_true")
+    c.add_argument("--skip-checksums", action="store_true")
     command("diff", diff, "before", "after")
     for name in ("eval", "report"):
         c = command(name, evaluate, "pack")
@@ -183,7 +201,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--format", default="jsonl")
     c.add_argument("--redact", action="store_true")
     c.add_argument("--force", action="store_true")
-    command("schemas", schemas, "pack")
+    command("schemas", schemas).add_argument("--model", default="all")
     command("serve", serve)
     command("sign", sign, "pack", "key").add_argument("--new-key", action="store_true")
     command("verify", verify, "pack", "key")

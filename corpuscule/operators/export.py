@@ -49,6 +49,26 @@ def llamaindex_rows(documents: DataFrame, pack_id: str, redact: bool = False) ->
     return rows.select("text", F.col("document_id").alias("id_"), meta.alias("metadata"), hidden.alias("excluded_embed_metadata_keys"), hidden.alias("excluded_llm_metadata_keys"))
 
 
+def _filled() -> Column:
+    return F.filter("blocks", lambda b: F.trim(F.coalesce(F.nullif(b["markdown"], F.lit("")), b["text"], F.lit(""))) != "")
+
+
+def _shown(b: Column) -> Column:
+    """A block as Markdown; a heading with its marks."""
+    text = F.coalesce(F.nullif(b["markdown"], F.lit("")), b["text"])
+    level = F.least(F.lit(6), F.greatest(F.lit(1), F.coalesce(b["level"], F.lit(1))))
+    return F.when(b["type"] == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.coalesce(F.nullif(b["text"], F.lit("")), text))).otherwise(text)
+
+
+def normalized_rows(documents: DataFrame) -> DataFrame:
+    """``document_id`` and the whole document as a pack keeps it: Markdown after a front matter in JSON."""
+    quoted = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("v"))), '(?s)^\\{"v":(.*)\\}$', 1)
+    fields = {"document_id": F.col("document_id"), "source_uri": F.col("uri"), "title": F.coalesce(F.nullif("title", F.lit("")), "document_id")}
+    front = F.concat_ws(",\n", *[F.concat(F.lit(f'  "{k}": '), quoted(v)) for k, v in fields.items()])
+    body = tx.stripped(F.array_join(F.transform(_filled(), _shown), "\n\n"))
+    return documents.select("document_id", F.concat(F.lit("---\n{\n"), front, F.lit("\n}\n---\n\n"), body, F.lit("\n")).alias("markdown"))
+
+
 def markdown_rows(documents: DataFrame, redact: bool = False) -> DataFrame:
     """``document_id`` and the whole document as Markdown with a front matter."""
     head = ["---", "document_id: ", "source_uri: ", "title: ", "redacted: true", "---"]
@@ -56,13 +76,7 @@ def markdown_rows(documents: DataFrame, redact: bool = False) -> DataFrame:
         "\n", F.lit(head[0]), F.concat(F.lit(head[1]), "document_id"), F.concat(F.lit(head[2]), tx.yaml_quoted(F.col("uri"))),
         F.concat(F.lit(head[3]), tx.yaml_quoted(F.coalesce(F.nullif("title", F.lit("")), "document_id"))), *([F.lit(head[4])] if redact else []), F.lit(head[5]),
     )
-    filled = F.filter("blocks", lambda b: F.trim(F.coalesce(F.nullif(b["markdown"], F.lit("")), b["text"], F.lit(""))) != "")
-
-    def shown(b: Column) -> Column:
-        text = F.coalesce(F.nullif(b["markdown"], F.lit("")), b["text"])
-        level = F.least(F.lit(6), F.greatest(F.lit(1), F.coalesce(b["level"], F.lit(1))))
-        return F.when(b["type"] == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.coalesce(F.nullif(b["text"], F.lit("")), text))).otherwise(text)
-
+    filled, shown = _filled(), _shown
     if redact:
         lines = documents.select("document_id", F.posexplode(F.transform(filled, shown)).alias("n", "line"))
         lines = scan.redact(lines, "line").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))

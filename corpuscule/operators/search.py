@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 GROUNDED = "Answer from the given sources only, name the source of each statement, and say so where they hold no answer."
 
+#: What a serving adapter may offer; nothing of it writes.
+READ_ONLY_TOOLS = ("search_context", "get_chunk", "get_source_metadata", "get_manifest", "explain_provenance")
+
+
+def available_tools() -> list[str]:
+    return list(READ_ONLY_TOOLS)
+
 
 def query_terms(query: str) -> list[str]:
     return sorted({t.lower() for t in query.split()})

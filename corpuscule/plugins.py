@@ -36,6 +36,8 @@ class Registry:
     exporters: dict[str, Exporter] = field(default_factory=dict)
     metrics: dict[str, Metric] = field(default_factory=dict)
     suites: dict[str, Suite] = field(default_factory=dict)
+    #: Put into every document's metadata.
+    metadata: dict[str, str] = field(default_factory=dict)
     skipped: list[str] = field(default_factory=list)
 
     def all_decoders(self) -> tuple[Decoder, ...]:
@@ -49,6 +51,11 @@ class Registry:
             self.decoders.append(value)
             return
         table = getattr(self, kind, None)
+        if kind == "metadata":
+            if not metadata_name_ok(name):
+                raise ConfigError(f"metadata of a plugin must be named ns:plugin:key, not {name}")
+            self.metadata[name] = str(value)
+            return
         if not isinstance(table, dict):
             raise ConfigError(f"unknown kind of plugin: {kind}")
         table[name] = value

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import DecodeError
 from ..functions.text import normalized, split_paragraphs
 
 BLOCK = "struct<index:int,type:string,text:string,markdown:string,html:string,level:int,page:int,line_start:int,line_end:int,confidence:double,metadata:map<string,string>>"
@@ -404,7 +405,7 @@ def decoded(content: Column, path: Column, name: Column, decoders: tuple[Decoder
                 rows.append(by[n](c, p or "").row())
             except Exception as e:  # a broken file must not end the job
                 failed = Result(stem(p or ""))
-                failed.fail("decoder_failed", f"{type(e).__name__}: {e}", "error")
+                failed.fail("decode_error" if isinstance(e, DecodeError) else "decoder_failed", f"{type(e).__name__}: {e}", "error")
                 rows.append(failed.row())
         return pa.array(rows, _DECODED)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuscule import build as b
 from corpuscule import config as cfg
 from corpuscule import plugins, report
-from corpuscule.errors import ConfigError, PackError
+from corpuscule.errors import ConfigError, CorpusError, DecodeError, PackError
 from corpuscule.operators import quality, search
 from corpuscule.sources import decoders, files, pack, signing
 from corpuscule.streaming import ingest
@@ -177,6 +177,44 @@ def test_config(tmp_path):
             cfg.load(path)
 
 
+def test_normalized_members_begin_with_json(corpus, tmp_path):
+    path = str(tmp_path / "n.ctxpack")
+    pack.write(corpus, path)
+    opened, titles = pack.Pack(path), {r.document_id: (r.uri, r.title or r.document_id) for r in corpus.documents.collect()}
+    for name, (uri, title) in titles.items():
+        text = opened.read(f"normalized/{name}.md").decode()
+        front, body = text[4:].split("\n---\n\n", 1)
+        assert text.startswith("---\n{\n") and json.loads(front) == {"document_id": name, "source_uri": uri, "title": title}
+        assert front == json.dumps(json.loads(front), indent=2, sort_keys=True, ensure_ascii=False) and body.endswith("\n")
+
+
+def test_plugin_metadata_is_namespaced(spark, root):
+    registry = plugins.Registry()
+    registry.register("metadata", "ns:mine:team", "docs")
+    for wrong in ("team", "ns:team", "x:mine:team", "ns::team"):
+        with pytest.raises(ConfigError):
+            registry.register("metadata", wrong, "docs")
+    rows = b.decode_files(files.discover(spark, root, ("notes.txt",)), cfg.Config(), registry).collect()
+    assert [r.metadata["ns:mine:team"] for r in rows] == ["docs"]
+
+
+def test_decoders_may_raise_decode_errors(spark):
+    def refuse(content, path):
+        raise DecodeError("not mine")
+
+    mine = decoders.Decoder("mine", (".x",), (), refuse)
+    row = spark.range(1).select(decoders.decoded(F.lit(b"x"), F.lit("a.x"), F.lit("mine"), (mine,)).alias("d")).first()
+    assert [(e.code, e.severity) for e in row.d.errors] == [("decode_error", "error")]
+
+
+def test_redaction_by_findings_equals_scanning_again(corpus):
+    from corpuscule.operators import export
+
+    one = {r.id: r.text for r in export.jsonl_rows(corpus.chunks, redact=True).collect()}
+    assert one == {r.id: r.text for r in export.jsonl_rows(corpus.chunks, redact=True, findings=corpus.findings).collect()}
+    assert any("[REDACTED:pii:email]" in t for t in one.values()) and search.available_tools()[0] == "search_context"
+
+
 def test_search_and_prompts(corpus):
     found = search.search_context(corpus.chunks, "Work remote WORK", 5).collect()
     assert found[0].score == 2.0 and "Remote Work" in found[0].text
@@ -198,7 +236,18 @@ def test_reports(corpus, tmp_path):
     assert "readiness_score" in json.loads((tmp_path / "r.json").read_text())
     report.write_report(str(tmp_path / "r.html"), "<R>", row, corpus.findings)
     assert "&lt;R&gt;" in (tmp_path / "r.html").read_text()
-    assert report.schemas(chunks=corpus.chunks)["chunks"]["type"] == "struct"
+    assert report.schemas("chunk")["properties"]["char_count"] == {"type": "integer"}
+    with pytest.raises(CorpusError):
+        report.schemas("nothing")
+
+
+def test_tables_instead_of_a_pack(corpus, spark, tmp_path):
+    pack.write_tables(corpus, str(tmp_path / "t"))
+    back = pack.read_tables(spark, str(tmp_path / "t"))
+    assert sorted(back) == sorted(pack.TABLES) and all(back[n].count() == getattr(corpus, n).count() for n in back)
+    assert back["chunks"].schema.simpleString() == corpus.chunks.schema.simpleString()
+    with pytest.raises(PackError):
+        pack.write_tables(corpus, str(tmp_path / "t"))
 
 
 def test_duplicates(spark):
