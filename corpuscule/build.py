@@ -67,10 +67,17 @@ def document_text(blocks) -> F.Column:
 
 
 def build(spark: SparkSession, root: str, config: Config | None = None, registry: Registry | None = None) -> Corpus:
-    """Everything up to the chunks' findings is narrow; shuffled are duplicates and counts only."""
+    """A corpus of the files under ``root``."""
     config = (config or Config()).check()
+    return build_from(files.discover(spark, root, config.input.include, config.input.exclude), root, config, registry)
+
+
+def build_from(found: DataFrame, root: str, config: Config, registry: Registry | None = None) -> Corpus:
+    """A corpus of files wherever they were found, rows as ``files.discover`` gives them.
+
+    Everything up to the chunks' findings is narrow; shuffled are duplicates and counts only.
+    """
     registry = registry or Registry()
-    found = files.discover(spark, root, config.input.include, config.input.exclude)
     read = decode_files(found, config, registry).persist()
     supported = F.col("decoder").isNotNull()
     failed = F.exists("errors", lambda e: e["severity"].isin("error", "critical"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import build, config
 from ..functions import ids
 from ..operators import chunk, export, quality, scan, search
-from ..sources import decoders
+from ..sources import decoders, files
 from . import sql_scan
 from .tables import SQL_DOCS, SQL_SLUG, chunks, corpus, sql_chunk_id, table, texts, with_chunks, with_docs
 from .text_queries import SQL_MARKDOWN, _markdown
@@ -113,6 +114,52 @@ _STATS = """SELECT count(*) AS chunk_count, min(n) AS min_chars, max(n) AS max_c
   percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC) AS median_chars, median(n)::DOUBLE AS median_interpolated, sum(n)::BIGINT AS total_chars FROM (SELECT length(text) AS n FROM chunks)"""
 
 
+def _built(spark: SparkSession, sf: str) -> build.Corpus:
+    """A build from files made of documents: half of them texts, the others blank, no JSON, or of no known kind."""
+    kind = F.col("doc_id") % 6
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf, "documents").select(
+        F.concat(name, F.when(kind == 4, ".json").when(kind == 5, ".xyz").otherwise(".txt")).alias("rel_path"), F.encode(F.when(kind == 3, " \n").otherwise(F.col("text")), "UTF-8").alias("content")
+    )
+    ext = files.extension(F.col("rel_path"))
+    found = rows.select(
+        F.col("rel_path").alias("path"), "rel_path", F.regexp_extract("rel_path", "([^/]*)$", 1).alias("filename"), ext.alias("ext"), files.media_type(ext).alias("media_type"), F.length("content").cast("long").alias("length"),
+        F.lit(None).cast("timestamp").alias("modified_at"), "content",
+    )
+    return build.build_from(found, "documents", config.Config(chunking=config.ChunkingConfig(strategy="fixed"), as_of="2026-01-01T00:00:00"))
+
+
+#: Those files, and the chunks of the texts among them.
+_FILES = """, files AS (SELECT doc_id, doc_id % 6 AS kind, source || '/' || doc_id || CASE doc_id % 6 WHEN 4 THEN '.json' WHEN 5 THEN '.xyz' ELSE '.txt' END AS path, CASE WHEN doc_id % 6 = 3 THEN ' ' || chr(10) ELSE raw END AS content, text FROM docs),
+  kept AS (SELECT text FROM chunks WHERE doc_id % 6 < 3)"""
+
+
+@query(with_chunks(_FILES + """ SELECT count(*) AS discovered, count(*) FILTER (WHERE kind < 5) AS supported, count(*) FILTER (WHERE kind = 5) AS unsupported,
+    count(*) FILTER (WHERE kind IN (3, 4) OR kind < 3 AND text = '') AS failed, count(*) FILTER (WHERE kind IN (3, 4) OR kind < 3 AND text = '') AS empty, count(*) FILTER (WHERE kind < 3 AND text <> '') AS document_count,
+    (SELECT count(*) FROM kept) AS chunk_count, (SELECT max(length(text)) FROM kept) AS max_chars FROM files"""))
+def build_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """What a build reports."""
+    names = ("discovered", "supported", "unsupported", "failed", "empty", "document_count", "chunk_count", "max_chars")
+    return _built(spark, sf).report.select(*[F.col(n).cast("long").alias(n) for n in names])
+
+
+@query(with_chunks(_FILES + """, codes AS (
+    SELECT path, unnest(CASE kind WHEN 3 THEN ['empty_text', 'empty_document'] WHEN 4 THEN ['json_decode_failed', 'json_empty', 'empty_document'] WHEN 5 THEN ['unsupported_file'] END) AS code FROM files WHERE kind > 2
+    UNION ALL SELECT path, unnest(['empty_text', 'empty_document']) FROM files WHERE kind < 3 AND text = ''
+    UNION ALL SELECT path, 'exact_duplicate_source' FROM (SELECT path, row_number() OVER (PARTITION BY content ORDER BY path) AS n FROM files) WHERE n > 1)
+  SELECT code, path FROM codes UNION ALL SELECT 'duplicate_chunk_ratio', NULL FROM (SELECT count(*) AS n, count(DISTINCT text) AS d FROM kept) WHERE n > d"""))
+def build_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """What a build warns of, file by file."""
+    return _built(spark, sf).warnings.select("code", "path")
+
+
+@query(with_chunks(f"""{_FILES}, {sql_scan.findings("SELECT doc_id::VARCHAR AS k, text AS t FROM docs WHERE doc_id % 6 < 3 UNION ALL SELECT doc_id || '#' || chunk_index, text FROM chunks WHERE doc_id % 6 < 3")}
+  SELECT CASE WHEN contains(k, '#') THEN 'chunk' ELSE 'document' END AS scope, label, count(*) AS n FROM found GROUP BY ALL"""))
+def build_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """A build's findings in documents and in chunks, together."""
+    return _built(spark, sf).findings.groupBy("scope", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(with_chunks(_STATS))
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return quality.chunk_stats(chunks(spark, sf))
