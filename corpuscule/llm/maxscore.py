@@ -32,7 +32,7 @@ FIRST_RANGE, LONGEST_RANGE = 128, 8_192
 PROBED = 8
 PROBE_COST = 8
 #: Queries whose terms are held at once; further ones are searched in groups of as many.
-QUERIES_A_GROUP = 4_000
+QUERIES_A_GROUP = 20_000
 #: Scores are given, compared and tied to so many decimals.
 DECIMALS = 6
 SLACK = 2e-6
