@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, mix, renamed, slices, strings, tidied, word_hash, words, words_of
+from .common import Vocabulary, mix, renamed, slices, strings, tidied, words
 
 #: Words in a block, and blocks in a passage of the counts and the matrix.
 BLOCK = 16
@@ -66,11 +66,10 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, str | None, str | None]]):
         self.ids = [i for i, _, _ in rows]
-        found = [words_of(t) for _, t, _ in rows]
-        self.words = [np.array([word_hash(w) for w in ws], np.uint64) for ws in found]
-        own = [words_of(a) if a else [] for *_, a in rows]
-        self.answers = [np.array([word_hash(w) for w in (a or ws[-ANSWER_WORDS:])], np.uint64) for a, ws in zip(own, found, strict=True)]
-        self.own_answer = [bool(a) for a in own]
+        self.words = _word_lists([t for _, t, _ in rows])
+        own = _word_lists([a for *_, a in rows])
+        self.answers = [a if len(a) else w[-ANSWER_WORDS:] for a, w in zip(own, self.words, strict=True)]
+        self.own_answer = [len(a) > 0 for a in own]
         self.vocabulary = Vocabulary(np.concatenate([np.zeros(0, np.uint64), *self.words]))
         by: dict[int, dict[int, list[int]]] = {}
         for i, w in enumerate(self.words):
@@ -80,6 +79,15 @@ class Items:
         self.short = {n: (np.array(sorted(found), np.uint64), [found[k] for k in sorted(found)]) for n, found in by.items()}
 
 
+def _word_lists(texts: list[str | None]) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    column, out = pa.array([t or "" for t in texts], pa.string()), []
+    for a, b in slices(column):
+        h, doc = words(column.slice(a, b - a))
+        out += np.split(h, np.searchsorted(doc, np.arange(1, b - a)))
+    return out
+
+
 def sequences(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` words in a row."""
     last = max(0, len(h) - n + 1)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuscule.llm import decontaminate
@@ -116,12 +117,13 @@ def test_short_items_are_found_as_they_are(spark, written):
 
 def test_one_space_holds_twenty_thousand_items(spark, written):
     items = [(i, written(100_000 + i, 18)) for i in range(20_000)]
-    rows = [(d, written(d, 60) + " " + items[d * 97][1] + " " + written(d + 500, 60)) for d in range(100)] + [(1_000 + d, written(2_000 + d, 120)) for d in range(100)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    rows = [(d, written(d, 30) + " " + items[d * 970][1] + " " + written(d + 500, 30)) for d in range(12)] + [(1_000 + d, written(2_000 + d, 60)) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    assert len(decontaminate._spaces(docs, benchmark, 16)) == 1
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, benchmark, 16).collect()}
-    assert got >= {(d, d * 97) for d in range(100)} and not {d for d, _ in got if d >= 1_000}
+    spaces = decontaminate._spaces(docs, benchmark, 16)
+    assert len(spaces) == 1 and len(spaces[0].items.ids) == 20_000
+    got = {(d, i) for d, i, *_ in decontaminate.contaminated(spaces[0], pa.array([t for _, t in rows]))}
+    assert got >= {(d, d * 970) for d in range(12)} and not {d for d, _ in got if d >= 12}
 
 
 def test_results_equal_brute_force(spark, written):
