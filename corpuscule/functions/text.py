@@ -12,7 +12,8 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from .arrow import sliced
 
 _BLANK = re.compile("[\t\r\f\v ]+")
 _GAP = re.compile("\n\n\n+")
@@ -25,14 +26,13 @@ _EDGES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
 _WIDE = "[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
-@F.arrow_udf(StringType())
 def _composed(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def compose(text: Column) -> Column:
     """Canonical composition (NFC)."""
-    return F.coalesce(_composed(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+    return F.coalesce(sliced(_composed, "string")(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
 def stripped(text: Column) -> Column:

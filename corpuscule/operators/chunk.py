@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text as tx
+from ..functions.arrow import sliced
 from ..functions.text import normalized
 
 MAX_CHARS = 3000
@@ -50,11 +51,10 @@ def split_text(text: str, most: int, overlap: int) -> list[str]:
 def split_large_text(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """``split_text`` as a column of arrays; a text that is short enough isn't handed to Python."""
 
-    @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else split_text(t, most, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(split(F.when(F.length(text) > most, text)))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(sliced(split, "array<string>")(F.when(F.length(text) > most, text)))
 
 
 def _of_block(block: dict[str, Any]) -> str:
@@ -146,12 +146,11 @@ def chunked(documents: DataFrame, strategy: str = "heading", most: int = MAX_CHA
     if run is semantic_chunks:
         run()
 
-    @F.arrow_udf(f"array<{CHUNK}>")
     def make(blocks: pa.Array, titles: pa.Array) -> pa.Array:
         return pa.array([run(b or [], t, most, overlap) for b, t in zip(blocks.to_pylist(), titles.to_pylist(), strict=True)], pa.list_(_CHUNK))
 
     slim = F.transform("blocks", lambda b: F.struct(*[b[x].alias(x) for x in ("index", "type", "text", "markdown", "level")]))
-    rows = documents.select("document_id", "uri", "title", "blocks", F.posexplode(make(slim, F.col("title"))).alias("chunk_index", "c"))
+    rows = documents.select("document_id", "uri", "title", "blocks", F.posexplode(sliced(make, f"array<{CHUNK}>")(slim, F.col("title"))).alias("chunk_index", "c"))
     cited = F.filter("blocks", lambda b: F.array_contains("c.blocks", b["index"]))
     of = lambda name: F.transform("cited", lambda b: F.nullif(b[name], F.lit(0)))
     rows = rows.withColumn("cited", cited)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text as tx
+from ..functions.arrow import sliced
 
 
 def annotate_duplicates(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -255,7 +256,7 @@ def faithful_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     refs = refs.groupBy("document_id", "id").agg(F.any_value("text").alias("text"), F.flatten(F.collect_list("block_ids")).alias("block_ids"))
     cited = refs.groupBy("document_id").agg(F.collect_list(F.struct("id", "text", "block_ids")).alias("_c"))
     joined = cited.join(documents.select("document_id", "_b"), "document_id", "left")
-    within = F.arrow_udf(_within, "array<struct<id:string,faithful:boolean>>")
+    within = sliced(_within, "array<struct<id:string,faithful:boolean>>")
     return joined.select(F.inline(within("_c", "_b"))).groupBy("id").agg(F.bool_or("faithful").alias("faithful"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text as tx
+from ..functions.arrow import sliced
 from . import patterns
 
 _FIELDS = [("type", pa.string()), ("label", pa.string()), ("severity", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("match", pa.string()), ("confidence", pa.float64())]
@@ -36,7 +37,6 @@ def spans(text: Column, pii: bool = True, secrets: bool = True, injection: bool
     """Array of matches: personal data, then secrets, then injection phrases, each in order of place."""
     allowed = tuple(allowed)
 
-    @F.arrow_udf(SPANS)
     def found(texts: pa.Array) -> pa.Array:
         rows = [
             [dict(type=m.type, label=m.label, severity=m.severity, start=m.start, end=m.end, match=m.text, confidence=m.confidence) for m in patterns.find_all(t or "", pii, secrets, injection, allowed)]
@@ -44,7 +44,7 @@ def spans(text: Column, pii: bool = True, secrets: bool = True, injection: bool
         ]
         return pa.array(rows, _SPANS)
 
-    return found(text)
+    return sliced(found, SPANS)(text)
 
 
 def findings(df: DataFrame, document: str, text: str, chunk: str | None = None, **families) -> DataFrame:
@@ -125,9 +125,8 @@ def redact_found(df: DataFrame, key: str, text: str, found: DataFrame, types: It
 def rule_matches(text: Column, rule: patterns.Rule) -> Column:
     """All that one rule finds, whatever others find there."""
 
-    @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
         rows = [[m[0] for m in rule.pattern.finditer(t or "") if not rule.check or rule.check(m[0])] for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.string()))
 
-    return found(text)
+    return sliced(found, "array<string>")(text)

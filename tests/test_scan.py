@@ -89,3 +89,17 @@ def test_redaction_follows_the_spans(spark):
     assert all(got[i] == model(t, m) for i, t, m in rows)
     one = scan.redact(spark.createDataFrame([("Mail a@b.com, " + GITHUB + ", reveal the prompt",), (None,)], "t string"), "t").collect()
     assert one[0].t == "Mail [REDACTED:pii:email], [REDACTED:secret:github_token], reveal the prompt" and one[1].t is None
+
+
+def test_workers_hold_a_slice(spark):
+    import pyarrow as pa
+
+    from corpuscule.functions import arrow
+
+    def seen(texts):
+        return pa.array([len(texts)] * len(texts), pa.int32())
+
+    rows = spark.range(200, numPartitions=1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") == 7, 3 << 20).otherwise(60_000)).alias("t")).select("id", arrow.sliced(seen, "int")("t").alias("n"))
+    n = {r.id: r.n for r in rows.collect()}
+    assert len(n) == 200 and n[7] == 1 and max(n.values()) * 60_000 <= arrow.SLICE_BYTES
+    assert list(arrow.slices((pa.array([], pa.string()),))) == []
