@@ -91,6 +91,33 @@ def test_redaction_follows_the_spans(spark):
     assert one[0].t == "Mail [REDACTED:pii:email], [REDACTED:secret:github_token], reveal the prompt" and one[1].t is None
 
 
+def test_matches_are_those_of_the_plain_patterns():
+    """Rules are tried where they can begin; that mustn't lose or add any match."""
+    from corpuscule.plans.tables import PLANTED
+
+    rng, letters = random.Random(3), "0123456789 +()-.:@aAfFeEyJ12é_٣ſ\n,="
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(3000)] + [a + rng.choice(" ,\né") + b for a in PLANTED for b in PLANTED]
+    for text in texts:
+        for family, rules, find in (("pii", patterns.PII, patterns.find_pii), ("secret", patterns.SECRETS, patterns.find_secrets)):
+            found = [patterns.Match(family, r.label, r.severity, m.start(), m.end(), m[0], r.confidence) for r in rules for m in r.pattern.finditer(text) if not r.check or r.check(m[0])]
+            if family == "pii":
+                near = lambda r, m: any(w in text[max(0, m.start - 40) : m.end + 40].lower() for w in r.nearby)
+                found = [m._replace(confidence=min(0.99, m.confidence + 0.15)) if near(next(r for r in rules if r.label == m.label), m) else m for m in found]
+                found.sort(key=lambda m: ({"critical": 4, "high": 3, "medium": 2, "low": 1}[m.severity], m.confidence, m.end - m.start), reverse=True)
+            kept = []
+            for m in found:
+                if not any(m.start < k.end and k.start < m.end for k in kept):
+                    kept.append(m)
+            assert find(text) == sorted(kept, key=lambda m: m.start), text
+
+
+def test_many_matches_in_one_text():
+    import time
+
+    text, began = " ; ".join(f"10.0.{i % 256}.{i // 256 % 256} a{i}@b.org" for i in range(20_000)), time.process_time()
+    assert len(patterns.find_pii(text)) == 40_000 and time.process_time() - began < 20
+
+
 def test_workers_hold_a_slice(spark):
     import pyarrow as pa
 
