@@ -198,12 +198,24 @@ def validate_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def validate_integrity(manifest: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A row ``(key, rule)`` per disagreement of a manifest's counts, and per chunk of a missing document."""
-    counted = manifest.crossJoin(documents.agg(F.count(F.lit(1)).alias("_d"))).crossJoin(chunks.agg(F.count(F.lit(1)).alias("_c")))
-    of = lambda df, key, rule: df.select(key.cast("string").alias("key"), F.lit(rule).alias("rule"))
-    out = of(counted.where("document_count <> _d"), F.col("document_count"), "document_count_mismatch")
-    out = out.unionByName(of(counted.where("chunk_count <> _c"), F.col("chunk_count"), "chunk_count_mismatch"))
-    return out.unionByName(of(orphan_chunks(chunks, documents), F.col("id"), "document_missing"))
+    """A row ``(key, rule)`` per disagreement of a manifest's counts, and per chunk of a missing document.
+
+    Documents and chunks are read once each: the chunks whose document is missing and the number of all come from one grouping.
+    A manifest that was itself counted from the chunks reads them once more.
+    """
+    known = documents.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n"))
+    there = F.coalesce(F.col("_n") > 0, F.lit(False))
+    rows = chunks.select("id", "document_id").join(known, "document_id", "left").select(F.when(~there, F.struct("id")).alias("_o"), F.lit(1).cast("long").alias("_c"))
+    none = chunks.sparkSession.range(1).select(F.lit(None).cast(rows.schema["_o"].dataType).alias("_o"), F.lit(0).cast("long").alias("_c"))  # so that there is a total where there is no chunk
+    found = rows.unionByName(none).groupingSets([["_o"], []], "_o").agg(F.sum("_c").alias("n"), F.grouping("_o").alias("_all"))
+    pair = lambda key, rule: F.struct(key.cast("string").alias("key"), F.lit(rule).alias("rule"))
+    head = manifest.agg(F.collect_list(F.struct("document_count", "chunk_count")).alias("_m")).crossJoin(documents.agg(F.count(F.lit(1)).alias("_d")))
+    wrong = F.concat(
+        F.transform(F.filter("_m", lambda m: m["document_count"] != F.col("_d")), lambda m: pair(m["document_count"], "document_count_mismatch")),
+        F.transform(F.filter("_m", lambda m: m["chunk_count"] != F.col("n")), lambda m: pair(m["chunk_count"], "chunk_count_mismatch")),
+    )
+    missing = F.array_repeat(pair(F.col("_o.id"), "document_missing"), F.when(F.col("_o").isNotNull(), F.col("n")).otherwise(0).cast("int"))
+    return found.crossJoin(F.broadcast(head)).select(F.inline(F.when(F.col("_all") == 1, wrong).otherwise(missing)))
 
 
 def provenance(chunks: DataFrame, documents: DataFrame) -> DataFrame:

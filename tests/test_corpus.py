@@ -255,3 +255,21 @@ def test_duplicates(spark):
     r = quality.duplicate_ratios(rows).first()
     assert (r.dup_member_ratio, r.dup_excess_ratio) == (0.5, 0.25)
     assert quality.duplicate_ratios(rows.limit(0)).first().dup_member_ratio == 0.0
+
+
+def test_integrity_reads_the_chunks_once(spark):
+    import re
+
+    docs = spark.createDataFrame([("doc_1",), ("doc_2",)], "document_id string")
+    chunks = spark.createDataFrame([("a", "doc_1"), ("b", "doc_3"), ("b", "doc_3"), ("c", None), (None, "doc_4")], "id string, document_id string")
+    manifest = lambda d, c: spark.createDataFrame([(d, c)], "document_count long, chunk_count long")
+    found = lambda m, d, c: sorted(((r.key, r.rule) for r in quality.validate_integrity(m, d, c).collect()), key=str)
+    missing = [("b", "document_missing"), ("b", "document_missing"), ("c", "document_missing"), (None, "document_missing")]
+    assert found(manifest(2, 5), docs, chunks) == missing
+    assert found(manifest(3, 4), docs, chunks) == sorted([*missing, ("3", "document_count_mismatch"), ("4", "chunk_count_mismatch")], key=str)
+    assert found(manifest(2, 5).limit(0), docs, chunks) == missing
+    assert found(manifest(0, 1), docs.limit(0), chunks.limit(0)) == [("1", "chunk_count_mismatch")]
+    marked = chunks.withColumn("id", F.concat("id", F.lit("_mark_")))
+    plan = quality.validate_integrity(manifest(2, 5), docs, marked.withColumn("n", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("_mark_", plan)) == 1
+    assert len(re.findall(r"LogicalRDD|LocalRelation|ExistingRDD", plan)) == 4  # manifest, documents twice, chunks
