@@ -73,3 +73,9 @@ def test_chunks_of_documents(spark):
         chunk.chunked(docs, "semantic")
     with pytest.raises(ValueError):
         chunk.chunked(docs, "fixed", 10, 10)
+
+
+def test_an_empty_line_just_within_the_latter_half_is_a_cut():
+    text = "a" * 201 + "\n\n" + "b " * 200
+    assert chunk.split_text(text, 400, 40)[0] == "a" * 201
+    assert chunk.split_text(text[1:], 400, 40)[0] != "a" * 200  # at the half itself it isn't

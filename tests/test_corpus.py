@@ -273,3 +273,8 @@ def test_integrity_reads_the_chunks_once(spark):
     plan = quality.validate_integrity(manifest(2, 5), docs, marked.withColumn("n", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("_mark_", plan)) == 1
     assert len(re.findall(r"LogicalRDD|LocalRelation|ExistingRDD", plan)) == 4  # manifest, documents twice, chunks
+
+
+def test_a_reference_without_its_semicolon_is_read_as_html_reads_it():
+    row = decoders.decode_html(b"<title>a &amp;&amp</title><h1>a &amp;&amp</h1>", "p.html").row()
+    assert row["title"] == row["blocks"][0]["text"] == "a &&"
