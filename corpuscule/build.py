@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -29,6 +29,7 @@ class Corpus:
     findings: DataFrame
     warnings: DataFrame
     report: DataFrame
+    counts: DataFrame
     kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
@@ -72,24 +73,45 @@ def build(spark: SparkSession, root: str, config: Config | None = None, registry
     return build_from(files.discover(spark, root, config.input.include, config.input.exclude), root, config, registry)
 
 
-def build_from(found: DataFrame, root: str, config: Config, registry: Registry | None = None) -> Corpus:
+def counted(cut: DataFrame, supported: Column, empty: Column, failed: Column) -> DataFrame:
+    """One row: how many files there are of each kind, and the lengths of what they were ``cut`` to, in one pass over them."""
+    rows = cut.select(supported.alias("supported"), empty.alias("empty"), failed.alias("failed"), F.posexplode_outer(F.transform("cut", lambda c: F.length(c["text"]).cast("long"))).alias("i", "char_count"))
+    supported, empty, failed = F.col("supported"), F.col("empty"), F.col("failed")
+    first, many = F.coalesce(F.col("i"), F.lit(0)) == 0, lambda of: F.count_if(F.col("first") & of)
+    return rows.withColumn("first", first).agg(
+        many(F.lit(True)).alias("discovered"),
+        many(supported).alias("supported"),
+        many(~supported).alias("unsupported"),
+        many(supported & (empty | failed)).alias("failed"),
+        many(supported & empty).alias("empty"),
+        many(supported & ~empty & ~failed).alias("document_count"),
+        *quality.length_stats(F.col("i").isNotNull()),
+    )
+
+
+def build_from(found: DataFrame, root: str, config: Config, registry: Registry | None = None, keep: bool = True) -> Corpus:
     """A corpus of files wherever they were found, rows as ``files.discover`` gives them.
 
-    Everything up to the chunks' findings is narrow; shuffled are duplicates and counts only.
+    Everything up to the chunks' findings is narrow; shuffled are duplicates and counts only. What was decoded
+    and cut is kept, since most tables come from it; ``keep=False`` is for who reads ``counts`` only, which need one pass.
     """
     registry = registry or Registry()
-    read = decode_files(found, config, registry).persist()
+    kept = lambda df: df.persist() if keep else df
     supported = F.col("decoder").isNotNull()
     failed = F.exists("errors", lambda e: e["severity"].isin("error", "critical"))
     empty = F.size("blocks") <= 0
-    documents = read.where(supported & ~empty & ~failed)
+    usable = supported & ~empty & ~failed
+    c = config.chunking
+    cut = decode_files(found, config, registry)
+    cut = kept(cut.withColumn("cut", chunk.cut(F.when(usable, F.col("blocks")), F.col("title"), c.strategy, c.max_chars, c.overlap_chars, registry.chunkers)))
+    read = cut.drop("cut")
+    documents = read.where(usable)
 
     families = dict(pii=config.security.pii, secrets=config.security.secrets, injection=config.security.prompt_injection, allowed=config.security.allowed)
-    c = config.chunking
-    chunks = chunk.chunked(documents, c.strategy, c.max_chars, c.overlap_chars, registry.chunkers).persist()
+    chunks = chunk.listed(cut.where(usable), c.strategy)
     by_document = scan.findings(documents.withColumn("text", document_text(F.col("blocks"))), "document_id", "text", **families)
     by_chunk = scan.findings(chunks, "document_id", "text", "id", **families)
-    findings = by_document.unionByName(by_chunk).persist()
+    findings = kept(by_document.unionByName(by_chunk))
 
     secured = scan.summary(by_document, "document_id").select("document_id", F.struct("pii_count", "secret_count", "prompt_injection_score", "labels").alias("security"))
     documents = documents.join(secured, "document_id", "left")
@@ -107,17 +129,10 @@ def build_from(found: DataFrame, root: str, config: Config, registry: Registry |
     ratio = quality.duplicate_ratios(chunks).where("dup_member_ratio > 0")
     warnings = warnings.unionByName(ratio.select(F.lit("duplicate_chunk_ratio").alias("code"), F.lit(None).cast("string").alias("path"), F.format_string("%.3f", "dup_member_ratio").alias("detail")))
 
-    counts = read.agg(
-        F.count(F.lit(1)).alias("discovered"),
-        F.count_if(supported).alias("supported"),
-        F.count_if(~supported).alias("unsupported"),
-        F.count_if(supported & (empty | failed)).alias("failed"),
-        F.count_if(supported & empty).alias("empty"),
-        F.count_if(supported & ~empty & ~failed).alias("document_count"),
-    )
+    counts = counted(cut, supported, empty, failed)
     stamp = config.as_of or datetime.now(tz=UTC).isoformat()
-    report = counts.crossJoin(quality.chunk_stats(chunks)).crossJoin(quality.duplicate_ratios(chunks)).withColumn("created_at", F.lit(stamp))
-    return Corpus(config, root, read, documents, annotated, findings, warnings, report, (read, chunks, findings))
+    report = counts.crossJoin(quality.duplicate_ratios(chunks)).withColumn("created_at", F.lit(stamp))
+    return Corpus(config, root, read, documents, annotated, findings, warnings, report, counts, (cut, findings) if keep else ())
 
 
 def evaluate(corpus: Corpus, reference: DataFrame | None = None, metrics: dict | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .arrow import sliced
 
-_BLANK = re.compile("[\t\r\f\v ]+")
+_BLANK = re.compile("[\t\f\v ]{2,}|[\t\f\v]")
 _GAP = re.compile("\n\n\n+")
 _BREAK = re.compile(r"\n\s*\n")
 
@@ -63,18 +63,25 @@ def paragraphs(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """How many runs of anything but white space there are."""
-    t = stripped(text)
-    parts = F.when(text.rlike(_WIDE), F.size(F.split(t, f"(?U){_EDGE}"))).otherwise(F.size(F.split(t, _EDGE)))
-    return F.when(t == "", 0).otherwise(parts)
+    """How many runs of anything but white space there are.
 
+    Each becomes one letter, and the letters are counted; only texts with unusual white space are split.
+    """
+    wide = (F.length(text) < F.octet_length(text)) & text.rlike(_WIDE)
+    usual = F.length(F.regexp_replace(F.btrim(text, F.lit(_EDGES)), f"[^{_EDGES}]++[{_EDGES}]*+", "x"))
+    return F.when(wide, F.size(F.array_remove(F.split(text, f"(?U){_EDGE}"), ""))).otherwise(usual)
 
-def token_estimate(text: Column) -> Column:
-    """Words times 1.3, rounded half to even, at least one; none for a blank text."""
-    n = n_words(text)
+
+def tokens(n: Column) -> Column:
+    """The estimate for so many words."""
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.bround(n * F.lit(1.3)).cast("long")))
 
 
+def token_estimate(text: Column) -> Column:
+    """Words times 1.3, rounded half to even, at least one; none for a blank text. The words are counted once."""
+    return F.element_at(F.transform(F.array(n_words(text)), tokens), 1)
+
+
 def preview(text: Column, start: Column, end: Column, mask: Column, around: int = 24) -> Column:
     """A match with its surroundings; of a masked one longer than 8 only four characters at either end."""
     value = F.substring(text, start + 1, end - start)
@@ -96,7 +103,9 @@ def html_escaped(text: Column) -> Column:
 def normalized(text: str, keep_lines: bool = True) -> str:
     """``normalize`` for one string."""
     text = unicodedata.normalize("NFC", text).replace("\0", "").replace("\r\n", "\n").replace("\r", "\n")
-    joined = ("\n" if keep_lines else " ").join(_BLANK.sub(" ", x).strip() for x in text.split("\n"))
+    if any(x in text for x in ("  ", "\t", "\f", "\v")):
+        text = _BLANK.sub(" ", text)
+    joined = ("\n" if keep_lines else " ").join(map(str.strip, text.split("\n")))
     return _GAP.sub("\n\n", joined).strip()
 
 

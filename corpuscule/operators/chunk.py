@@ -21,9 +21,10 @@ MAX_CHARS = 3000
 OVERLAP_CHARS = 200
 
 _CHUNK = pa.struct(
-    [("text", pa.string()), ("title", pa.string()), ("section_path", pa.list_(pa.string())), ("blocks", pa.list_(pa.int32())), ("score", pa.float64()), ("labels", pa.list_(pa.string()))]
-)
-CHUNK = "struct<text:string,title:string,section_path:array<string>,blocks:array<int>,score:double,labels:array<string>>"
+    [("text", pa.string()), ("title", pa.string()), ("section_path", pa.list_(pa.string())), ("blocks", pa.list_(pa.int32())), ("score", pa.float64()), ("labels", pa.list_(pa.string())), ("words", pa.int32()),
+     ("page_start", pa.int32()), ("page_end", pa.int32()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("confidence", pa.float64())]
+)
+CHUNK = "struct<text:string,title:string,section_path:array<string>,blocks:array<int>,score:double,labels:array<string>,words:int,page_start:int,page_end:int,line_start:int,line_end:int,confidence:double>"
 
 
 def split_text(text: str, most: int, overlap: int) -> list[str]:
@@ -133,11 +134,24 @@ def semantic_chunks(*_: Any) -> list[dict[str, Any]]:
 CHUNKERS: dict[str, Callable[..., list[dict[str, Any]]]] = {"heading": heading_chunks, "fixed": fixed_chunks, "semantic": semantic_chunks}
 
 
-def chunked(documents: DataFrame, strategy: str = "heading", most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS, chunkers: dict[str, Callable] | None = None) -> DataFrame:
-    """Chunks of ``documents(document_id, uri, title, blocks)``, a row each, with ids, citation and quality.
+def _placed(made: list[dict[str, Any]], blocks: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """The chunks with their number of words and, of the blocks they cite, the pages, the lines and the mean confidence."""
+    at = {b["index"]: n for n, b in enumerate(blocks)}
+    out = []
+    for c in made:
+        cited = [blocks[n] for n in sorted({at[i] for i in c["blocks"] or () if i in at})]
+        of = lambda name: [b[name] for b in cited if b[name] is not None]  # noqa: E731, B023
+        pages, starts, ends, sure, total = of("page"), [x for x in of("line_start") if x], [x for x in of("line_end") if x], of("confidence"), 0.0
+        for x in sure:  # one after the other: sum() would round in another way
+            total += x
+        out.append(
+            dict(c, words=None if c["text"] is None else len(c["text"].split()), page_start=min(pages, default=None), page_end=max(pages, default=None), line_start=min(starts, default=None), line_end=max(ends, default=None), confidence=total / len(sure) if sure else None)
+        )
+    return out
 
-    A row's whole block array is worked on at once; empty documents give no chunk.
-    """
+
+def cut(blocks: Column, title: Column, strategy: str = "heading", most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS, chunkers: dict[str, Callable] | None = None) -> Column:
+    """The chunks of a document, an array; none where there are no blocks. The whole block array is worked on at once."""
     if strategy not in (known := CHUNKERS | (chunkers or {})):
         raise ValueError(f"unknown chunking strategy: {strategy}")
     if most <= 0 or not 0 <= overlap < most:
@@ -147,23 +161,29 @@ def chunked(documents: DataFrame, strategy: str = "heading", most: int = MAX_CHA
         run()
 
     def make(blocks: pa.Array, titles: pa.Array) -> pa.Array:
-        return pa.array([run(b or [], t, most, overlap) for b, t in zip(blocks.to_pylist(), titles.to_pylist(), strict=True)], pa.list_(_CHUNK))
-
-    slim = F.transform("blocks", lambda b: F.struct(*[b[x].alias(x) for x in ("index", "type", "text", "markdown", "level")]))
-    rows = documents.select("document_id", "uri", "title", "blocks", F.posexplode(sliced(make, f"array<{CHUNK}>")(slim, F.col("title"))).alias("chunk_index", "c"))
-    cited = F.filter("blocks", lambda b: F.array_contains("c.blocks", b["index"]))
-    of = lambda name: F.transform("cited", lambda b: F.nullif(b[name], F.lit(0)))
-    rows = rows.withColumn("cited", cited)
-    sure = F.filter(F.transform("cited", lambda b: b["confidence"]), lambda x: x.isNotNull())
-    mean = F.aggregate(sure, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(sure), F.lit(0))
+        return pa.array([_placed(run(b or [], t, most, overlap), b or []) for b, t in zip(blocks.to_pylist(), titles.to_pylist(), strict=True)], pa.list_(_CHUNK))
+
+    slim = F.transform(blocks, lambda b: F.struct(*[b[x].alias(x) for x in ("index", "type", "text", "markdown", "level", "page", "line_start", "line_end", "confidence")]))
+    return sliced(make, f"array<{CHUNK}>")(slim, title)
+
+
+def chunked(documents: DataFrame, strategy: str = "heading", most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS, chunkers: dict[str, Callable] | None = None) -> DataFrame:
+    """Chunks of ``documents(document_id, uri, title, blocks)``, a row each, with ids, citation and quality."""
+    return listed(documents.withColumn("cut", cut(F.col("blocks"), F.col("title"), strategy, most, overlap, chunkers)), strategy)
+
+
+def listed(documents: DataFrame, strategy: str) -> DataFrame:
+    """The chunks in ``documents(document_id, uri, title, cut)``, a row each.
+
+    Beside its chunk a row holds nothing of the document but ids and title, so a long document isn't
+    copied for each of its chunks.
+    """
+    rows = documents.select("document_id", "uri", "title", F.posexplode("cut").alias("chunk_index", "c"))
     ref = F.struct(
         F.col("document_id"),
         F.transform("c.blocks", lambda i: ids.block_id(F.col("document_id"), i)).alias("block_ids"),
         F.col("uri").alias("source_uri"),
-        F.array_min(F.transform("cited", lambda b: b["page"])).alias("page_start"),
-        F.array_max(F.transform("cited", lambda b: b["page"])).alias("page_end"),
-        F.array_min(of("line_start")).alias("line_start"),
-        F.array_max(of("line_end")).alias("line_end"),
+        *[F.col(f"c.{x}").alias(x) for x in ("page_start", "page_end", "line_start", "line_end")],
     )
     return rows.select(
         ids.chunk_id(F.col("document_id"), F.lit(strategy), F.col("chunk_index")).alias("id"),
@@ -173,11 +193,11 @@ def chunked(documents: DataFrame, strategy: str = "heading", most: int = MAX_CHA
         F.coalesce(F.nullif("c.title", F.lit("")), "title").alias("title"),
         F.col("c.section_path").alias("section_path"),
         F.array(ref).alias("source_refs"),
-        tx.token_estimate(F.col("c.text")).alias("token_count_estimate"),
+        tx.tokens(F.col("c.words")).alias("token_count_estimate"),
         F.length("c.text").cast("long").alias("char_count"),
         F.create_map(F.lit("chunker"), F.lit(strategy)).alias("metadata"),
         F.col("c.score").alias("score"),
         F.col("c.labels").alias("labels"),
-        mean.alias("extraction_confidence"),
+        F.col("c.confidence").alias("extraction_confidence"),
         F.lit(True).alias("has_citation"),
     )

@@ -53,16 +53,21 @@ def duplicate_sources(files: DataFrame, content_hash: Column, path: Column) -> D
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """One row: least, most, mean, upper median, interpolated median and sum of the chunks' lengths."""
+    return chunks.agg(*length_stats(F.lit(True)))
+
+
+def length_stats(there: Column) -> list[Column]:
+    """Aggregates of ``char_count``; ``there`` says which rows are chunks, the others have a null."""
     n = F.col("char_count")
-    return chunks.agg(
-        F.count(F.lit(1)).alias("chunk_count"),
+    return [
+        F.count_if(there).alias("chunk_count"),
         F.coalesce(F.min(n), F.lit(0)).cast("long").alias("min_chars"),
         F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_chars"),
         F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_chars"),
         F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY char_count DESC)"), F.lit(0)).cast("long").alias("median_chars"),
         F.coalesce(F.median(n), F.lit(0.0)).alias("median_interpolated"),
         F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_chars"),
-    )
+    ]
 
 
 def _percent(x: Column) -> Column:

@@ -114,7 +114,7 @@ _STATS = """SELECT count(*) AS chunk_count, min(n) AS min_chars, max(n) AS max_c
   percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC) AS median_chars, median(n)::DOUBLE AS median_interpolated, sum(n)::BIGINT AS total_chars FROM (SELECT length(text) AS n FROM chunks)"""
 
 
-def _built(spark: SparkSession, sf: str) -> build.Corpus:
+def _built(spark: SparkSession, sf: str, keep: bool = True) -> build.Corpus:
     """A build from files made of documents: half of them texts, the others blank, no JSON, or of no known kind."""
     kind = F.col("doc_id") % 6
     name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
@@ -126,7 +126,7 @@ def _built(spark: SparkSession, sf: str) -> build.Corpus:
         F.col("rel_path").alias("path"), "rel_path", F.regexp_extract("rel_path", "([^/]*)$", 1).alias("filename"), ext.alias("ext"), files.media_type(ext).alias("media_type"), F.length("content").cast("long").alias("length"),
         F.lit(None).cast("timestamp").alias("modified_at"), "content",
     )
-    return build.build_from(found, "documents", config.Config(chunking=config.ChunkingConfig(strategy="fixed"), as_of="2026-01-01T00:00:00"))
+    return build.build_from(found, "documents", config.Config(chunking=config.ChunkingConfig(strategy="fixed"), as_of="2026-01-01T00:00:00"), keep=keep)
 
 
 #: Those files, and the chunks of the texts among them.
@@ -138,9 +138,9 @@ _FILES = """, files AS (SELECT doc_id, doc_id % 6 AS kind, source || '/' || doc_
     count(*) FILTER (WHERE kind IN (3, 4) OR kind < 3 AND text = '') AS failed, count(*) FILTER (WHERE kind IN (3, 4) OR kind < 3 AND text = '') AS empty, count(*) FILTER (WHERE kind < 3 AND text <> '') AS document_count,
     (SELECT count(*) FROM kept) AS chunk_count, (SELECT max(length(text)) FROM kept) AS max_chars FROM files"""))
 def build_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """What a build reports."""
+    """What a build reports; the files are read, decoded and cut once, and none of it is kept."""
     names = ("discovered", "supported", "unsupported", "failed", "empty", "document_count", "chunk_count", "max_chars")
-    return _built(spark, sf).report.select(*[F.col(n).cast("long").alias(n) for n in names])
+    return _built(spark, sf, keep=False).counts.select(*[F.col(n).cast("long").alias(n) for n in names])
 
 
 @query(with_chunks(_FILES + """, codes AS (

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpuscule.functions import text as tx
 from corpuscule.operators import chunk
 
 
@@ -75,6 +76,35 @@ def test_chunks_of_documents(spark):
         chunk.chunked(docs, "fixed", 10, 10)
 
 
+def test_chunks_show_what_their_blocks_say(spark):
+    """Tokens, pages, lines and mean confidence against the blocks themselves; a row carries nothing else of its document."""
+    kind = "index:int,type:string,text:string,markdown:string,level:int,page:int,line_start:int,line_end:int,confidence:double"
+    rnd = random.Random(5)
+    pick = lambda *x: rnd.choice(x)
+    word = lambda: pick("a", "bb", "c\u00a0d", "\u2003e", "f\x1cg", "\u00e9")
+    docs = {
+        f"doc_{d}": [(i, pick("paragraph", "code"), " ".join(word() for _ in range(rnd.randint(0, 40))), None, None, pick(None, 0, 3, 7), pick(None, 0, 5, 9), pick(None, 0, 6, 8), pick(None, 0.1, 0.2, 0.7)) for i in range(rnd.randint(0, 30))]
+        for d in range(12)
+    }
+    made = chunk.chunked(spark.createDataFrame([(k, "u", "T", v) for k, v in docs.items()], f"document_id string, uri string, title string, blocks array<struct<{kind}>>"), "fixed", 90, 10)
+    rows = made.withColumn("estimate", tx.token_estimate(F.col("text"))).collect()
+    assert len(rows) > 100
+    for r in rows:
+        ref = r.source_refs[0]
+        cited = [b for b in docs[r.document_id] if f"blk_{r.document_id[4:]}_{b[0]:06d}" in ref.block_ids]
+        of = lambda n, zero=True: [b[n] for b in cited if b[n] or zero and b[n] == 0]  # noqa: E731, B023
+        assert (ref.page_start, ref.page_end) == (min(of(5), default=None), max(of(5), default=None))
+        assert (ref.line_start, ref.line_end) == (min(of(6, False), default=None), max(of(7, False), default=None))
+        n = 0.0
+        for x in of(8):
+            n += x
+        assert r.extraction_confidence == (n / len(of(8)) if of(8) else None)
+        words = len(r.text.split())
+        assert r.token_count_estimate == r.estimate == (max(1, round(words * 1.3)) if words else 0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "split(" not in plan and "array_contains" not in plan
+
+
 def test_an_empty_line_just_within_the_latter_half_is_a_cut():
     text = "a" * 201 + "\n\n" + "b " * 200
     assert chunk.split_text(text, 400, 40)[0] == "a" * 201

@@ -82,6 +82,17 @@ def test_report_and_warnings(corpus):
     assert handbook and handbook[0].has_citation
 
 
+def test_counts_are_one_pass_that_keeps_nothing(corpus, spark, root):
+    config = cfg.Config(as_of="2026-01-03T00:00:00")  # another plan than the fixture's, which is kept
+    once = b.build_from(files.discover(spark, root, config.input.include, config.input.exclude), root, config, keep=False)
+    plan = once.counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "InMemoryTableScan" not in plan and once.kept == ()
+    counts, report, lengths = once.counts.first().asDict(), corpus.report.first().asDict(), quality.chunk_stats(corpus.chunks).first().asDict()
+    assert counts == {k: report[k] for k in counts} and lengths == {k: counts[k] for k in lengths}
+    nothing = b.build_from(files.discover(spark, root, ["nothing/*"]), root, config, keep=False).counts.first()
+    assert (nothing.discovered, nothing.chunk_count, nothing.max_chars, nothing.avg_chars) == (0, 0, 0, 0.0)
+
+
 def test_evaluation(corpus, spark):
     row = b.evaluate(corpus, metrics={"size": lambda d, c: c.agg(F.count("*").alias("n")), "broken": lambda d, c: 1 / 0}).first()
     assert row.metric_size.n == row.chunk_count and any(w.startswith("plugin_metric_error:broken") for w in row.warnings)
